@@ -48,9 +48,9 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _tile(k: int, rows: int):
     def run(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(queries) and len(candidates):
-            width = max(queries.v.map(len).max(), candidates.v.map(len).max())
-            q, c = _matrix(queries.v, width), _matrix(candidates.v, width)
-            qid, cid = queries.id.to_numpy(), candidates.id.to_numpy()
+            width = max(queries.v.map(len).max(), candidates.cv.map(len).max())
+            q, c = _matrix(queries.v, width), _matrix(candidates.cv, width)
+            qid, cid = queries.id.to_numpy(), candidates.cid.to_numpy()
             exact = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * width < 2.0**53
             if not exact:  # beyond doubles' integers: Python's own integers
                 q, c = (np.array([[int(x) for x in row] for row in m], dtype=object) for m in (q, c))
@@ -102,8 +102,10 @@ def top_k_search(
     blocks, shards = max(1, -(-counts.q // query_block)), max(1, -(-counts.n // shard_rows))
     asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     asked = asked.select("id", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    # computed anew, as the two sides of a cogroup must not share attributes
     offered = rows.withColumn("shard", F.pmod("deal", F.lit(shards)))
-    offered = offered.select("id", "v", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    blocks_of = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    offered = offered.select((F.col("id") + 0).alias("cid"), F.slice("v", 1, F.size("v")).alias("cv"), "shard", F.explode(blocks_of).alias("block"))
     partial = asked.groupBy("block", "shard").cogroup(offered.groupBy("block", "shard")).applyInPandas(_tile(k, 256), PAIR_SCHEMA)
     order = [F.desc("score"), F.asc("candidate_id")]
     while shards > merge_fan_in:  # a level of the tree: lists of a group of shards become one
@@ -123,9 +125,9 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
