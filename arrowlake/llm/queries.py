@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import topk_search
+from . import ngram_join, topk_search
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
 }
 
 ORACLE_SQL = {
     "op1_topk": topk_search.OP1_SQL,
+    "op2_ngram_join": ngram_join.OP2_SQL,
 }
