@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import ngram_join, topk_search
+from . import fingerprints, ngram_join, secret_scan, topk_search
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op4_fingerprint": fingerprints.op4_fingerprint,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
 }
 
 ORACLE_SQL = {
     "op1_topk": topk_search.OP1_SQL,
     "op2_ngram_join": ngram_join.OP2_SQL,
+    "op4_fingerprint": fingerprints.OP4_SQL,
+    "op6_secret_scan": secret_scan.OP6_SQL,
 }
