@@ -104,6 +104,28 @@ def token_slots(tokens: np.ndarray) -> np.ndarray:
     return (tokens.view(np.uint64) >> np.uint64(20)) & np.uint64(BITS - 1)
 
 
+def _bit_table(tokens: DataFrame) -> bytes:
+    """A table of ``BITS`` bits with those of all tokens set: one megabyte at any scale."""
+    slots = tokens.select(F.expr(f"shiftrightunsigned(token, 20) & {BITS - 1}").alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    table = np.zeros(BITS // 64, np.int64)
+    for word, bits in words.toLocalIterator():  # at most BITS / 64 rows
+        table[word] = bits
+    return table.tobytes()
+
+
+def _marked_rows(bitmap):
+    """Texts whose id's bit is set, so that only these are shuffled; other ids that share the bit fall out in the join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            keep = pa.array(np.flatnonzero(bits[token_slots(batch.column("h").to_numpy()).astype(np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(keep), batch.column("text").take(keep)], names=["rep", "text"])
+
+    return run
+
+
 def _marked_tokens(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
@@ -127,8 +149,8 @@ def _full_sets(k: int):
                 _, prints = fingerprints(sets)
                 keep = [r for r in range(j - i) if wanted[i + r].as_py() == prints[r]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("g").slice(i, j - i).take(pa.array(keep, pa.int64())), pa.array([prints[r] for r in keep], pa.binary()), pa.array([sets[r].tobytes() for r in keep], pa.binary())],
-                    names=["g", "fp", "tokens"],
+                    [*(batch.column(c).slice(i, j - i).take(pa.array(keep, pa.int64())) for c in ("g", "paired")), pa.array([prints[r] for r in keep], pa.binary()), pa.array([sets[r].tobytes() for r in keep], pa.binary())],
+                    names=["g", "paired", "fp", "tokens"],
                 )
 
     return run
@@ -228,13 +250,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     prefixes = checkpointed(prefixes)
     shared = prefixes.select("g", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("z"))
     shared = checkpointed(shared.where("a < z").select("token"))
-    slot = F.expr(f"shiftrightunsigned(token, 20) & {BITS - 1}")
-    words = shared.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    table = np.zeros(BITS // 64, np.int64)
-    for word, bits in words.toLocalIterator():  # at most BITS / 64 rows at any scale
-        table[word] = bits
-    bitmap = spark.sparkContext.broadcast(table.tobytes())
+    bitmap = spark.sparkContext.broadcast(_bit_table(shared))
     matrix = prefixes.mapInArrow(_marked_tokens(bitmap), "token long, g long, n long").join(shared, "token", "left_semi")
     matrix = checkpointed(matrix.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most")))
     a, b = matrix.alias("a"), matrix.alias("b")
@@ -242,14 +258,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") < F.col("b.g")) & fits)
     pairs = checkpointed(pairs.select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb")).distinct())
 
-    several = nodes.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    wanted = pairs.select(F.col("ga").alias("g")).union(pairs.select("gb")).union(several).distinct()
-    asked = nodes.join(wanted, "g", "left_semi").select("rep", "fp", "g")
-    opened = texts.withColumn("rep", own).join(asked, "rep").select("text", "fp", "g").mapInArrow(_full_sets(k), "g long, fp binary, tokens binary")
-    opened = opened.groupBy("g", "fp").agg(F.first("tokens").alias("tokens")).groupBy("g").agg(F.collect_list(F.struct("fp", "tokens")).alias("m"))
-    opened = checkpointed(opened.select("g", F.transform("m", lambda x: x.fp).alias("fps"), F.transform("m", lambda x: x.tokens).alias("sets")))
-    left, right = (opened.select(F.col("g").alias(f"g{x}"), F.col("fps").alias(f"fps_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab")
-    alone = left.where(F.size("fps_a") > 1).selectExpr("fps_a", "sets_a", "cast(null as array<binary>) fps_b", "cast(null as array<binary>) sets_b")
+    several = nodes.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g", F.lit(False).alias("paired"))
+    paired = pairs.select(F.col("ga").alias("g")).union(pairs.select("gb")).select("g", F.lit(True).alias("paired"))
+    wanted = paired.union(several).groupBy("g").agg(F.max("paired").alias("paired"))
+    asked = checkpointed(nodes.join(wanted, "g").select("rep", "fp", "g", "paired"))
+    marked = spark.sparkContext.broadcast(_bit_table(asked.select(F.xxhash64("rep").alias("token"))))
+    opened = texts.select(own.alias("rep"), F.xxhash64(own).alias("h"), "text").mapInArrow(_marked_rows(marked), "rep long, text string").join(asked, "rep").select("text", "fp", "g", "paired")
+    opened = opened.mapInArrow(_full_sets(k), "g long, paired boolean, fp binary, tokens binary")
+    opened = opened.groupBy("g", "paired").agg(F.collect_list(F.struct("fp", "tokens")).alias("m"))
+    opened = checkpointed(opened.select("g", "paired", F.transform("m", lambda x: x.fp).alias("fps"), F.transform("m", lambda x: x.tokens).alias("sets")))
+    left, right = (opened.where("paired").select(F.col("g").alias(f"g{x}"), F.col("fps").alias(f"fps_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab")
+    alone = opened.where(F.size("fps") > 1).selectExpr("fps fps_a", "sets sets_a", "cast(null as array<binary>) fps_b", "cast(null as array<binary>) sets_b")
     across = pairs.join(left, "ga").join(right, "gb").select("fps_a", "sets_a", "fps_b", "sets_b")
     edges = alone.unionByName(across).mapInPandas(_open(percent), "u binary, v binary")
 
