@@ -256,7 +256,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     a, b = matrix.alias("a"), matrix.alias("b")
     fits = (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent)
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") < F.col("b.g")) & fits)
-    pairs = checkpointed(pairs.select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb")).distinct())
+    pairs = pairs.select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb")).distinct()
+    weight = nodes.groupBy("g").agg(F.sum("n").alias("w"))
+    pairs = pairs.join(weight.toDF("ga", "wa"), "ga").join(weight.toDF("gb", "wb"), "gb")
+    lighter = F.col("wa") <= F.col("wb")  # the group that travels
+    pairs = checkpointed(pairs.select(F.when(lighter, F.col("ga")).otherwise(F.col("gb")).alias("ga"), F.when(lighter, F.col("gb")).otherwise(F.col("ga")).alias("gb")))
 
     several = nodes.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g", F.lit(False).alias("paired"))
     paired = pairs.select(F.col("ga").alias("g")).union(pairs.select("gb")).select("g", F.lit(True).alias("paired"))
