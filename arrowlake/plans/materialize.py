@@ -19,16 +19,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     out = df.checkpoint()
-    release_shuffles(spark, df)
+    release_shuffles(spark)
     return out
 
 
-def release_shuffles(spark, *done: DataFrame) -> None:
+def release_shuffles(spark) -> None:
     """Lets Spark delete the shuffle files of finished work now.
 
     Its cleaner acts on what the driver's collector finds unreachable, which for a small driver may be hours
     after a stage is over; between the phases of a long job that keeps several times the input on disk.
     """
-    del done
     gc.collect()
     spark.sparkContext._jvm.System.gc()
