@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.materialize import checkpointed
+from ..plans.materialize import checkpointed, release_shuffles
 from .hashing import WordHasher, blocks, mix, raw_texts, shingle_sets
 
 BUCKETS = 1 << 20
@@ -271,6 +271,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     opened = opened.mapInArrow(_full_sets(k), "g long, paired boolean, fp binary, tokens binary")
     opened = opened.groupBy("g", "paired").agg(F.collect_list(F.struct("fp", "tokens")).alias("m"))
     opened = checkpointed(opened.select("g", "paired", F.transform("m", lambda x: x.fp).alias("fps"), F.transform("m", lambda x: x.tokens).alias("sets")))
+    del prefixes, matrix, shared, asked
+    release_shuffles(spark)
     left, right = (opened.where("paired").select(F.col("g").alias(f"g{x}"), F.col("fps").alias(f"fps_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab")
     alone = opened.where(F.size("fps") > 1).selectExpr("fps fps_a", "sets sets_a", "cast(null as array<binary>) fps_b", "cast(null as array<binary>) sets_b")
     across = pairs.join(left, "ga").join(right, "gb").select("fps_a", "sets_a", "fps_b", "sets_b")
