@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import fingerprints, ngram_join, secret_scan, topk_search
+from . import fingerprints, ngram_join, packing, quality, secret_scan, topk_search
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op4_fingerprint": fingerprints.op4_fingerprint,
+    "op5_packing": packing.op5_packing,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLE_SQL = {
