@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import fingerprints, ngram_join, packing, quality, secret_scan, topk_search
+from . import fingerprints, language_id, mixing, ngram_join, packing, quality, secret_scan, topk_search
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_language_id": language_id.op3_language_id,
     "op4_fingerprint": fingerprints.op4_fingerprint,
     "op5_packing": packing.op5_packing,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op9_quality": quality.op9_quality,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
