@@ -140,22 +140,35 @@ def _marked_tokens(bitmap):
     return run
 
 
-def _full_sets(k: int):
+def _asked_sets(k: int):
+    """The set of each asked document: once for its own group, and as a query for each group it may link with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            wanted = batch.column("fp")
+            wanted, own, targets = (batch.column(c).to_pylist() for c in ("fp", "g", "targets"))
             for i, j, sets in _sets_of(batch, hasher, k):
                 _, prints = fingerprints(sets)
-                keep = [r for r in range(j - i) if wanted[i + r].as_py() == prints[r]]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, j - i).take(pa.array(keep, pa.int64())) for c in ("g", "paired")), pa.array([prints[r] for r in keep], pa.binary()), pa.array([sets[r].tobytes() for r in keep], pa.binary())],
-                    names=["g", "paired", "fp", "tokens"],
-                )
+                rows = []
+                for r, (s, fp) in enumerate(zip(sets, prints, strict=True), i):
+                    if fp == wanted[r]:
+                        tokens = s.tobytes()
+                        rows.append((own[r], False, fp, tokens))
+                        rows += [(g, True, fp, tokens) for g in targets[r] or []]
+                        if len(rows) > 512:
+                            yield _rows(rows)
+                            rows = []
+                yield _rows(rows)
 
     return run
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    kinds = pa.int64(), pa.bool_(), pa.binary(), pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["g", "asks", "fp", "tokens"])
+
+
 def _qualify(sets: list[np.ndarray], sizes: np.ndarray, others: np.ndarray, union: np.ndarray, percent: int) -> np.ndarray:
     """Rows whose overlap with the other group's token union allows a link with some member."""
     flat = np.concatenate(sets)
@@ -209,15 +222,36 @@ def links_between(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int)
 
 
 def _open(percent: int):
+    """Links within each group, and from its queries to it; rows come by group, members before queries."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, members, queries, size, closed = None, [], [], 0, False
+
+        def found(a: list, b: list | None) -> pd.DataFrame:
+            links = links_between([s for _, s in a], None if b is None else [s for _, s in b], percent)
+            ends = a if b is None else b
+            return pd.DataFrame({"u": [a[i][0] for i, _ in links], "v": [ends[j][0] for _, j in links]})
+
         for rows in batches:
-            for r in rows.itertuples(index=False):
-                a = [np.frombuffer(x, np.uint64) for x in r.sets_a]
-                b = None if r.fps_b is None else [np.frombuffer(x, np.uint64) for x in r.sets_b]
-                found = links_between(a, b, percent)
-                if found:
-                    ends = r.fps_a if b is None else r.fps_b
-                    yield pd.DataFrame({"u": [r.fps_a[i] for i, _ in found], "v": [ends[j] for _, j in found]})
+            for g, asks, fp, tokens in zip(rows.g, rows.asks, rows.fp, rows.tokens, strict=True):
+                if g != group or size > GROUP_TOKENS:
+                    if queries and members:
+                        yield found(queries, members)
+                    queries, size = [], 0
+                if (g != group or asks) and not closed:
+                    if len(members) > 1:
+                        yield found(members, None)
+                    closed = True
+                if g != group:
+                    group, members, closed = g, [], False
+                    if asks:
+                        closed = True
+                (queries if asks else members).append((fp, np.frombuffer(tokens, np.uint64)))
+                size += len(tokens) // 8 if asks else 0
+        if not closed and len(members) > 1:
+            yield found(members, None)
+        if queries and members:
+            yield found(queries, members)
 
     return run
 
@@ -262,21 +296,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     lighter = F.col("wa") <= F.col("wb")  # the group that travels
     pairs = checkpointed(pairs.select(F.when(lighter, F.col("ga")).otherwise(F.col("gb")).alias("ga"), F.when(lighter, F.col("gb")).otherwise(F.col("ga")).alias("gb")))
 
-    several = nodes.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g", F.lit(False).alias("paired"))
-    paired = pairs.select(F.col("ga").alias("g")).union(pairs.select("gb")).select("g", F.lit(True).alias("paired"))
-    wanted = paired.union(several).groupBy("g").agg(F.max("paired").alias("paired"))
-    asked = checkpointed(nodes.join(wanted, "g").select("rep", "fp", "g", "paired"))
+    several = nodes.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
+    wanted = pairs.select(F.col("ga").alias("g")).union(pairs.select("gb")).union(several).distinct()
+    targets = pairs.groupBy(F.col("ga").alias("g")).agg(F.collect_list("gb").alias("targets"))
+    asked = checkpointed(nodes.join(wanted, "g", "left_semi").join(targets, "g", "left").select("rep", "fp", "g", "targets"))
     marked = spark.sparkContext.broadcast(_bit_table(asked.select(F.xxhash64("rep").alias("token"))))
-    opened = texts.select(own.alias("rep"), F.xxhash64(own).alias("h"), "text").mapInArrow(_marked_rows(marked), "rep long, text string").join(asked, "rep").select("text", "fp", "g", "paired")
-    opened = opened.mapInArrow(_full_sets(k), "g long, paired boolean, fp binary, tokens binary")
-    opened = opened.groupBy("g", "paired").agg(F.collect_list(F.struct("fp", "tokens")).alias("m"))
-    opened = checkpointed(opened.select("g", "paired", F.transform("m", lambda x: x.fp).alias("fps"), F.transform("m", lambda x: x.tokens).alias("sets")))
-    del prefixes, matrix, shared, asked
+    opened = texts.select(own.alias("rep"), F.xxhash64(own).alias("h"), "text").mapInArrow(_marked_rows(marked), "rep long, text string")
+    opened = opened.join(asked, "rep").select("text", "fp", "g", "targets").mapInArrow(_asked_sets(k), "g long, asks boolean, fp binary, tokens binary")
+    edges = opened.repartition("g").sortWithinPartitions("g", "asks").mapInPandas(_open(percent), "u binary, v binary")
+    edges = checkpointed(edges)
+    del prefixes, matrix, shared, asked, opened
     release_shuffles(spark)
-    left, right = (opened.where("paired").select(F.col("g").alias(f"g{x}"), F.col("fps").alias(f"fps_{x}"), F.col("sets").alias(f"sets_{x}")) for x in "ab")
-    alone = opened.where(F.size("fps") > 1).selectExpr("fps fps_a", "sets sets_a", "cast(null as array<binary>) fps_b", "cast(null as array<binary>) sets_b")
-    across = pairs.join(left, "ga").join(right, "gb").select("fps_a", "sets_a", "fps_b", "sets_b")
-    edges = alone.unionByName(across).mapInPandas(_open(percent), "u binary, v binary")
 
     labels = connected_components(edges).withColumnRenamed("node", "fp")
     named = classes.select("fp", "least").join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
