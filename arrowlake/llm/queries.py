@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, ngram_join, packing, quality, secret_scan, topk_search
+from . import fingerprints, language_id, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, topk_search
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fingerprint": fingerprints.op4_fingerprint,
     "op5_packing": packing.op5_packing,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
