@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language_id, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, topk_search
+from . import fingerprints, html_extract, language_id, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, topk_search
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
