@@ -52,6 +52,17 @@ def containment(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(a)
 
 
+def packed(hashes: Column) -> Column:
+    """A sketch as one string, which is its printed form."""
+    return F.array_join(hashes, "")
+
+
+def unpacked(fingerprint: Column) -> Column:
+    """The hashes of a packed sketch."""
+    at = F.sequence(F.lit(0), (F.length(fingerprint) / DIGITS).cast("int") - 1)
+    return F.transform(at, lambda i: F.substring(fingerprint, i * DIGITS + 1, F.lit(DIGITS)))
+
+
 def merge_sketches(a: Column, b: Column) -> Column:
     """The sketch of both documents' shingles together (exact where both held hashes below the threshold)."""
     return F.array_sort(F.array_union(a, b))
@@ -104,7 +115,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Fingerprints are the retained hashes, sorted and joined, so equal texts have equal ones.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("own", sketch(F.col("text")))
+    rows = rows.withColumn("own", packed(sketch(F.col("text"))))
     rows = with_next(rows, "id", "text", ["text", "own"])
     chars = F.length("text")
     half = F.floor(chars / 2).cast("int")
@@ -115,10 +126,10 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("id").alias("doc_id"),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array_join("own", "").alias("fingerprint"),
-        F.array_join("changed", "").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        F.col("own").alias("fingerprint"),
+        packed(F.col("changed")).alias("edited_fingerprint"),
+        likeness(unpacked(F.col("own")), F.col("changed")).alias("near_edited"),
+        likeness(unpacked(F.col("own")), unpacked(F.col("next_own"))).alias("near_next"),
     )
 
 
