@@ -100,10 +100,10 @@ def with_next(rows: DataFrame, key: str, tie: str, carried: list[str], bucket_ro
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guard"))
     guard = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("guard"))
     spread = both.withColumn("place", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, guard))))
-    w = Window.partitionBy("place.bucket").orderBy("place.guard", "order", tie)
-    for c in carried:
-        spread = spread.withColumn(f"next_{c}", F.lead(c).over(w))
-    return spread.where("place.guard = 0").drop("place", "bucket", "order", "start", "before", "bucket so far")
+    spread = spread.select(*rows.columns, "order", F.col("place.bucket").alias("bucket"), F.col("place.guard").alias("guard"))
+    w = Window.partitionBy("bucket").orderBy("guard", "order", tie)
+    led = spread.select(*rows.columns, "guard", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
+    return led.where("guard = 0").drop("guard", "bucket so far")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
