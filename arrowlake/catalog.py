@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .queries import metrics, text, transcripts  # noqa: F401  each registers its queries
+from .queries import boxes, graphs, metrics, repair, text, transcripts  # noqa: F401  each registers its queries
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
