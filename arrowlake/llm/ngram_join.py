@@ -2,8 +2,8 @@
 
 Documents with the same shingle set form one class. Classes are partitioned into groups of similar documents
 (equal smallest shingle hash, split to a bounded size). The token-group matrix holds, for each token of the
-members' prefixes, the groups it occurs in; two groups are candidates only if they share such a token, since
-sets of the wanted similarity must share one of their rarest tokens. For a candidate pair each document's
+members' prefixes, the groups it occurs in; two groups are candidates only if they share enough of these, since
+sets of the wanted similarity must share some of their rarest tokens. For a candidate pair each document's
 overlap with the other group's token union bounds its overlap with any member; groups are opened only for
 documents that can still qualify, and then compared exactly as blocks. Only a spanning forest of the links
 leaves a block, so neither copies nor near copies are expanded into pairs.
@@ -34,6 +34,11 @@ GROUP_DOCS, GROUP_TOKENS = 256, 200_000
 NO_ID = -(1 << 63)
 
 
+def shared_at_least(n):
+    """How many prefix tokens a set of ``n`` must share with another to link: one, and one more for every 20 tokens."""
+    return n // 20 + 1
+
+
 def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
     """(sizes, 16-byte order-free fingerprint of each set)."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -92,7 +97,7 @@ def _prefixes(k: int, percent: int, rarity):
                 for s in sets:
                     n = len(s)
                     order = np.argsort(count[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")
-                    out.append(s[order[: n + (-percent * n // 100) + 1 if n else 0]].view(np.int64))
+                    out.append(s[order[: n + (-percent * n // 100) + shared_at_least(n) if n else 0]].view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)), pa.array(np.concatenate(out)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(prints, pa.binary()), lists], names=["doc_id", "fp", "tokens"])
 
@@ -290,7 +295,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     a, b = matrix.alias("a"), matrix.alias("b")
     fits = (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent)
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") < F.col("b.g")) & fits)
-    pairs = pairs.select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb")).distinct()
+    pairs = pairs.groupBy(F.col("a.g").alias("ga"), F.col("b.g").alias("gb")).agg(F.count("*").alias("c"), F.min(F.least("a.least", "b.least")).alias("least"))
+    pairs = pairs.where(F.col("c") >= F.floor(F.col("least") / 20) + 1).select("ga", "gb")
     weight = nodes.groupBy("g").agg(F.sum("n").alias("w"))
     pairs = pairs.join(weight.toDF("ga", "wa"), "ga").join(weight.toDF("gb", "wb"), "gb")
     lighter = F.col("wa") <= F.col("wb")  # the group that travels
