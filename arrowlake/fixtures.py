@@ -106,6 +106,8 @@ def oracle(sql: str) -> str:
     bare = lambda text: _NAMES.sub(r"\1", text)
     ctes = ", ".join(f"{x} AS ({bare(SOURCES_DUCKDB if x == 'fx_sources' else VIEWS[x])})" for x in wanted)
     sql = bare(sql).strip()
+    if not wanted:
+        return sql
     if sql[:14].upper() == "WITH RECURSIVE":
         return f"WITH RECURSIVE {ctes}, {sql[14:]}"
     if sql[:4].upper() == "WITH":
