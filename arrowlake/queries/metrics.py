@@ -54,6 +54,27 @@ def triplets(e: DataFrame, p: DataFrame) -> DataFrame:
     return scoring.triplet_scores(scoring.normalized_triplets(p), scoring.normalized_triplets(e))
 
 
+SPLIT = NORMAL.replace("lower(trim(rel)) IN", "CASE rel WHEN 'No' THEN 'partof' ELSE lower(trim(rel)) END IN").replace("ELSE lower(trim(rel)) END AS rel", "WHEN rel = 'No' THEN 'partof' ELSE lower(trim(rel)) END AS rel")
+
+
+@query(
+    "i2_triplet_scores_split",
+    "fx_edges",
+    "fx_pred",
+    sql=f"""WITH RECURSIVE {SPLIT}, h AS (SELECT graph_id, unnest(ua) AS no FROM f),
+w AS (SELECT rel, 'exact' AS what FROM x UNION ALL SELECT rel, 'relaxed' FROM rg JOIN h USING (graph_id, no) UNION ALL SELECT rel, 'pred' FROM p WHERE graph_id IN (SELECT graph_id FROM g) UNION ALL SELECT rel, 'gt' FROM g),
+k AS (SELECT coalesce(CASE WHEN rel = 'partof' THEN 'containment' ELSE 'connection' END, '') AS kind, what FROM w),
+cc AS (SELECT coalesce(kind, 'overall') AS kind, count(*) FILTER (what = 'exact') AS exact_hits, count(*) FILTER (what IN ('exact', 'relaxed')) AS relaxed_hits, count(*) FILTER (what = 'pred') AS total_pred,
+  count(*) FILTER (what = 'gt') AS total_gt FROM k GROUP BY GROUPING SETS ((kind), ())),
+s AS (SELECT *, exact_hits::DOUBLE / total_pred AS precision, relaxed_hits::DOUBLE / total_pred AS relaxed_precision, exact_hits::DOUBLE / total_gt AS recall, relaxed_hits::DOUBLE / total_gt AS relaxed_recall FROM cc),
+u AS (SELECT *, 2 * precision * recall / (precision + recall) AS f1, 2 * relaxed_precision * relaxed_recall / (relaxed_precision + relaxed_recall) AS relaxed_f1 FROM s)
+SELECT *, (f1 + relaxed_f1) / 2 AS score FROM u""",
+)
+def split_triplets(e: DataFrame, p: DataFrame) -> DataFrame:
+    part = lambda df: df.withColumn("rel", F.when(F.col("rel") == "No", "partof").otherwise(F.col("rel")))
+    return scoring.triplet_scores_split(scoring.normalized_triplets(part(p)), scoring.normalized_triplets(part(e)))
+
+
 @query("i3_select_scope", "fx_edges", "fx_pred", sql="SELECT graph_id, arrow_id FROM {fx_edges} WHERE graph_id IN (SELECT graph_id FROM {fx_pred} WHERE arrow_id = 2)")
 def scope(e: DataFrame, p: DataFrame) -> DataFrame:
     asked = p.where("arrow_id = 2").select(F.concat(F.lit("set/"), F.col("graph_id").cast("string"), F.lit(".png")).alias("image"))

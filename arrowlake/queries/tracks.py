@@ -7,7 +7,8 @@ from ..operators import detections as d
 from ..operators import tracks as t
 from ..operators.assignment import assign_one_to_one
 from ..operators.spatial import pair_overlap
-from ..registry import query
+from ..registry import ORACLE_SQL, query
+from ..streaming.tracks import confirm_available
 from .boxes import AREA, INTER, IOU, TOUCH
 
 
@@ -225,3 +226,11 @@ def associated(g: DataFrame, p: DataFrame) -> DataFrame:
     new = dets.where("score >= 0.3").join(near.select(*key, F.col("b.track_id").alias("track_id")), [*key, "track_id"], "left_anti")
     lost = tracks.join(near.select(*key, F.col("a.track_id").alias("track_id")), [*key, "track_id"], "left_anti")
     return new.select(*key, F.col("track_id").alias("id"), F.lit("new").alias("what")).unionByName(lost.select(*key, F.col("track_id").alias("id"), F.lit("unmatched").alias("what")))
+
+
+@query("k2_confirm_tracks_stream", "fx_track_frames", "fx_pred_frames")
+def confirmed_stream(g: DataFrame, p: DataFrame) -> DataFrame:
+    return confirm_available(matches(g, p))
+
+
+ORACLE_SQL["k2_confirm_tracks_stream"] = ORACLE_SQL["k2_confirm_tracks"]

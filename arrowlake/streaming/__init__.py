@@ -1 +1 @@
-
+"""Stateful operators over ordered frame streams."""
