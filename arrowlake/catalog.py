@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .queries import boxes, datasets, graphs, metrics, repair, sources, text, tracks, transcripts  # noqa: F401  each registers its queries
+from .queries import boxes, datasets, graphs, metrics, prep, repair, sources, text, tracks, transcripts  # noqa: F401  each registers its queries
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
