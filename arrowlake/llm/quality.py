@@ -188,8 +188,8 @@ def _scored(weights: np.ndarray):
 def quality_scores(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``quality_score`` (0 to 1) and ``quality_keep``.
 
-    Vote counts cover all documents; the scorer is fitted on ``sample`` rows (those of least hash, an equal share
-    of each vote pattern first). Cases: a null, empty or wordless text scores 0 and is not kept; repeated rows score alike;
+    Vote counts cover all documents; the scorer is fitted on about ``sample`` rows, drawn by a hash of the text so that
+    copies count once. Cases: a null, empty or wordless text scores 0 and is not kept; repeated rows score alike;
     all columns of ``docs`` stay; an empty table gives an empty result.
     """
     text = F.col(f"`{text_col}`").cast("string")
@@ -200,7 +200,7 @@ def quality_scores(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE
     size = sum(r.c for r in counted)
     # an even draw by hash: the share of the hash range that holds the sample
     bound = min((1 << 63) - 1, int(min(1.0, sample / max(size, 1)) * (1 << 64)) - (1 << 63))
-    drawn = keyed.where(F.xxhash64("key") <= bound).limit(2 * sample).select("text").mapInArrow(_sampled(), "pattern long, x binary").collect()
+    drawn = keyed.where(F.xxhash64("key") <= bound).dropDuplicates(["key"]).limit(2 * sample).select("text").mapInArrow(_sampled(), "pattern long, x binary").collect()
     weights = np.zeros(DIM + 1)
     if drawn:
         x = np.stack([np.frombuffer(r.x, np.float16) for r in drawn]).astype(np.float32)
