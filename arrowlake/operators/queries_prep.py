@@ -89,3 +89,29 @@ def first_points(arrows: DataFrame, names: DataFrame | None = None) -> DataFrame
     if names is not None:
         out = out.join(names.toDF("graph_id", "to"), "graph_id", "left").withColumn("graph_id", F.coalesce("to", "graph_id")).drop("to")
     return out.distinct()
+
+
+def remap_class_agnostic(gt: DataFrame, dt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with one category; gold track ids are renumbered from 1 by first appearance (frame, then id) in their video."""
+    first = gt.groupBy("video_id", "track_id").agg(F.min("frame").alias("first"))
+    ids = first.withColumn("new_id", F.row_number().over(Window.partitionBy("video_id").orderBy("first", "track_id"))).drop("first")
+    one = F.lit(1).cast("long")
+    return gt.join(ids, ["video_id", "track_id"]).withColumn("category_id", one), dt.withColumn("category_id", one)
+
+
+def ytvis_tracks(tracks: DataFrame) -> DataFrame:
+    """Tracks with array columns ``boxes`` and ``areas``: null boxes as zeros, null areas as 0, the track's area as the mean over all frames."""
+    zero = F.array(*[F.lit(0.0)] * 4)
+    out = tracks.withColumns({"boxes": F.transform("boxes", lambda b: F.coalesce(b, zero)), "areas": F.transform("areas", lambda a: F.coalesce(a, F.lit(0.0)))})
+    return out.withColumn("area", F.when(F.size("areas") > 0, F.aggregate("areas", F.lit(0.0), lambda s, a: s + a) / F.size("areas")).otherwise(0.0))
+
+
+def rewrite_queries(queries: DataFrame, objects: DataFrame, p: float, seed: int = 42) -> DataFrame:
+    """With probability ``p`` (by a seeded hash) a text query of the first stage that has a target and no box becomes a box
+    query of one of its targets, chosen by hash; all others stay."""
+    pick = seeded(seed, "image_id", "query_id", "box_id")
+    chosen = queries.join(objects, ["image_id", "category_id"]).groupBy("image_id", "query_id").agg(F.min_by(F.struct("x1", "y1", "x2", "y2"), F.struct(pick, "box_id")).alias("target"))
+    lucky = F.pmod(seeded(seed + 1, "image_id", "query_id"), F.lit(1_000_000)) < int(p * 1_000_000)
+    out = queries.join(chosen, ["image_id", "query_id"], "left")
+    turns = lucky & (F.col("stage") == 0) & F.col("input_box").isNull() & F.col("target").isNotNull()
+    return out.withColumns({"query_text": F.when(turns, "geometric").otherwise(F.col("query_text")), "input_box": F.when(turns, F.col("target")).otherwise(F.col("input_box"))}).drop("target")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +72,21 @@ def score_delta(before: DataFrame, after: DataFrame, key: str = "dataset", metri
 def f1_of(hits: str, pred: str, gold: str):
     """F1 from counts, 0 where undefined."""
     return rate(2 * F.col(hits), F.col(pred) + F.col(gold))
+
+
+def snap_to_vocab_ratio(texts: DataFrame, vocab: DataFrame, key: str = "graph_id", text: str = "text", least: float = 0.3) -> DataFrame:
+    """``texts`` with ``snapped``: the vocabulary string of highest sequence-match ratio if it is above ``least``, else the text.
+
+    The ratio (twice the matching characters over all) has no built-in form, so the distinct pairs that share a key
+    are rated in Arrow batches; pairs whose lengths alone rule the ratio out never get there.
+    """
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+
+    pairs = texts.select(key, text).distinct().join(vocab.select(key, "word").distinct(), key)
+    reach = 2 * F.least(F.length(text), F.length("word")) / F.greatest(F.length(text) + F.length("word"), F.lit(1))
+    same = pairs.where(F.col(text) == F.col("word")).select(key, text, "word", F.lit(1.0).alias("ratio"))
+    rated = pairs.where((reach > least) & (F.col(text) != F.col("word"))).join(same, [key, text], "left_anti").withColumn("ratio", ratio(F.col(text), F.col("word")))
+    best = same.unionByName(rated).where(F.col("ratio") > least).groupBy(key, text).agg(F.min(F.struct(-F.col("ratio"), "word")).alias("best"))
+    return texts.join(best.select(key, text, F.col("best.word").alias("snapped")), [key, text], "left").withColumn("snapped", F.coalesce("snapped", text))

@@ -107,3 +107,40 @@ def hierarchical(e: DataFrame) -> DataFrame:
     rows = e.select(F.col("graph_id").cast("string").alias("graph_id"), *[F.array(c).alias(c) for c in ("src", "rel", "dst")])
     names = e.where("graph_id % 2 = 0").select(F.col("graph_id").cast("string").alias("a"), F.concat(F.lit("image "), F.col("graph_id").cast("string")).alias("b")).distinct()
     return qp.first_points(rows, names)
+
+
+@query("j4_remap_class_agnostic", "fx_track_frames", "fx_pred_frames", sql="""WITH f AS (SELECT video_id, track_id, min(frame) AS f FROM {fx_track_frames} GROUP BY ALL), n AS (SELECT video_id, track_id, row_number() OVER (PARTITION BY video_id ORDER BY f, track_id) AS new_id FROM f)
+SELECT video_id, track_id, frame, 1::BIGINT AS category_id, new_id FROM {fx_track_frames} JOIN n USING (video_id, track_id)""")
+def agnostic(g: DataFrame, p: DataFrame) -> DataFrame:
+    return qp.remap_class_agnostic(g, p)[0].select("video_id", "track_id", "frame", "category_id", F.col("new_id").cast("long").alias("new_id"))
+
+
+@query("a10_read_ytvis", "fx_pred_frames", sql="WITH m AS (SELECT video_id, track_id, sum(CASE WHEN frame % 3 <> 0 THEN w * h ELSE 0 END) / count(*) AS area, count(*) FILTER (frame % 3 = 0) AS zeros FROM {fx_pred_frames} GROUP BY ALL) SELECT * FROM m")
+def ytvis(p: DataFrame) -> DataFrame:
+    shown = F.col("frame") % 3 != 0
+    a = p.groupBy("video_id", "track_id").agg(F.collect_list(F.struct(F.when(shown, F.array("x", "y", "w", "h")).alias("b"), F.when(shown, F.col("w") * F.col("h")).alias("a"))).alias("all"))
+    out = qp.ytvis_tracks(a.select("video_id", "track_id", F.col("all.b").alias("boxes"), F.col("all.a").alias("areas")))
+    return out.select("video_id", "track_id", "area", F.size(F.filter("areas", lambda x: x == 0)).cast("long").alias("zeros"))
+
+
+@query("g22_rewrite_queries", "fx_boxes")
+def rewritten(b: DataFrame) -> DataFrame:
+    box = F.struct("x1", "y1", "x2", "y2")
+    q = b.select("image_id", F.col("box_id").alias("query_id"), "category_id", F.lit("thing").alias("query_text"), (F.col("box_id") % 2).alias("stage"), F.when(F.col("box_id") % 5 == 0, box).alias("input_box"))
+    return qp.rewrite_queries(q, b, 0.5).select("image_id", "query_id", "query_text", "stage")
+
+
+@query("f4_snap_to_vocab_ratio", "fx_pred", "fx_vocab")
+def by_ratio(p: DataFrame, v: DataFrame) -> DataFrame:
+    from ..operators.repair import snap_to_vocab_ratio
+
+    return snap_to_vocab_ratio(p.select("graph_id", "arrow_id", F.col("dst").alias("text")), v)
+
+
+@query("a2_read_predictions_dir", "fx_pred", sql="SELECT DISTINCT CAST(graph_id AS STRING) AS graph_id, src, rel, dst FROM {fx_pred} UNION SELECT DISTINCT CAST(graph_id AS STRING), src, 'partof', 'lane 1' FROM {fx_pred} WHERE arrow_id % 2 = 0")
+def predictions_dir(p: DataFrame) -> DataFrame:
+    from ..sources.triplets import parse_predictions
+
+    arrow = F.struct(F.col("src").alias("source_node"), F.col("rel").alias("condition"), F.col("dst").alias("end"), F.when(F.col("arrow_id") % 2 == 0, "lane 1").otherwise("none").alias("source_location"))
+    files = p.groupBy("graph_id").agg(F.to_json(F.collect_list(arrow)).alias("text")).select(F.concat(F.lit("out/"), F.col("graph_id").cast("string"), F.lit("/arrow_triplets.json")).alias("path"), "text")
+    return parse_predictions(files, located=True)

@@ -107,3 +107,17 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def write_labels(labels: DataFrame, path: str) -> None:
     """One folder per image id with its label text."""
     labels.select("image_id", "label").write.mode("overwrite").partitionBy("image_id").text(path)
+
+
+def parse_predictions(files: DataFrame, located: bool = False) -> DataFrame:
+    """(graph_id, src, rel, dst) from (path, text) of one JSON array of arrows per diagram folder; pending targets are left
+    out, and with ``located`` both ends' locations add ``partof`` rows."""
+    rows = files.select(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("graph_id"), F.explode(F.from_json("text", T.ArrayType(ARROW))).alias("x"))
+    rows = rows.select("graph_id", F.coalesce("x.source_node", "x.source").alias("src"), F.col("x.condition").alias("rel"), F.coalesce("x.target_node", "x.end").alias("dst"), F.col("x.source_location").alias("src_loc"), F.col("x.target_location").alias("dst_loc"))
+    valid = keep_valid_triplets(rows)
+    out = valid.select("graph_id", "src", "rel", "dst")
+    if located:
+        from ..operators.scoring import part_of
+
+        out = out.unionByName(part_of(valid))
+    return out.distinct()
