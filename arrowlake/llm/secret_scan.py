@@ -76,7 +76,7 @@ def linked_spans(spans: Column, scope: int = SCOPE) -> Column:
     """The reported spans, sorted by start, then kind: base spans, and weak parts whose complement lies in scope.
 
     A merge of the sorted intervals, forwards and then backwards: each step knows where the nearest identifier,
-    secret and endpoint lie on that side.
+    secret and endpoint lie on that side. Weak parts inside a base span are taken out at the end.
     """
     far = F.lit(-(10**15)).cast("long")
     kept_type = "array<struct<start:bigint,kind:int,end:bigint,ok:boolean>>"
@@ -88,18 +88,17 @@ def linked_spans(spans: Column, scope: int = SCOPE) -> Column:
             close = lambda x: (at - x) <= scope
             linked = F.when(s["kind"] == 3, close(acc["name"]) | close(acc["place"])).otherwise(close(acc["name"]) | close(acc["value"]))
             strong = s["kind"] < BASE_KINDS
-            ok = s["ok"] | strong | (linked & (acc["covered"] < s["end"]))
+            ok = s["ok"] | strong | linked
             return F.struct(
                 F.when(s["kind"] == 1, at).otherwise(acc["name"]).alias("name"),
                 F.when(s["kind"].isin(0, 3), at).otherwise(acc["value"]).alias("value"),
                 F.when(s["kind"] == 4, at).otherwise(acc["place"]).alias("place"),
-                F.when(strong, F.greatest(acc["covered"], s["end"])).otherwise(acc["covered"]).alias("covered"),
                 F.concat(acc["out"], F.array(F.struct(s["start"], s["kind"], s["end"], ok.alias("ok")))).alias("out"),
             )
 
         return merge
 
-    start = F.struct(far.alias("name"), far.alias("value"), far.alias("place"), far.alias("covered"), empty.alias("out"))
+    start = F.struct(far.alias("name"), far.alias("value"), far.alias("place"), empty.alias("out"))
     listed = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(False).alias("ok"))))
     free = F.aggregate(listed, start, step(1), lambda acc: acc["out"])
     both = F.aggregate(F.reverse(free), start, step(-1), lambda acc: F.reverse(acc["out"]))

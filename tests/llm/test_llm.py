@@ -163,6 +163,22 @@ def test_secret_spans(spark):
     assert secret_scan.redact(df).columns == df.columns
 
 
+def test_weak_parts_link_on_both_sides(spark):
+    key, place, bare = "AKIA" + "A1" * 8, "http://db.example.com/z", "wJalrXUtnFEMIK7MDENG" * 2
+    pairs = [(bare, key), (key, bare), (place, key), (key, place), (bare, place), (place, bare), (place, "password: hunter2hunter2"), ("password: hunter2hunter2", place)]
+    gaps, ends = [1, 100, 190, 300], ["", " x" * 400 + " " + "f" * 32]
+    texts = [f"{a}{' ' * gap}{b}{end}" for a, b in pairs for gap in gaps for end in ends] + [f"{key} secret={bare}"]
+    strong = {"password": "assign", "AKIA": "access", "wJal": "secret", "http": "endpoint"}
+    kind = lambda part: next(k for x, k in strong.items() if part.startswith(x))
+    out = {r.doc_id: [(secret_scan.KINDS[s.kind], s.start, s.end) for s in r.secret_spans] for r in secret_scan.scan_secrets(table(spark, texts)).collect()}
+    for i, ((a, b), gap, end) in enumerate(itertools.product(pairs, gaps, ends)):
+        spans = [(kind(a), 0, len(a)), (kind(b), len(a) + gap, len(a) + gap + len(b))]
+        near = len(a) + gap <= secret_scan.SCOPE
+        wanted = [s for s in spans if near or s[0] in ("assign", "access")] + ([("hex", len(texts[i]) - 32, len(texts[i]))] if end else [])
+        assert out[i] == wanted, (a, b, gap, end)
+    assert out[len(texts) - 1] == [("access", 0, 20), ("assign", 21, 68)]
+
+
 def test_repeats_against_brute_force(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 400))) for _ in range(30)]
