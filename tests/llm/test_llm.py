@@ -246,6 +246,27 @@ def test_raking_meets_the_marginals(spark):
         assert np.allclose(out.groupby(d).weight.sum().sort_index(), wanted, rtol=1e-4)
 
 
+def test_the_sample_meets_the_marginals_beside_a_hot_source(spark):
+    rng = random.Random(12)
+    kinds = [f"subject{x}" for x in "abcdefghij"]
+    rows = []
+    for i in range(900):
+        source, lang = ("hot" if i % 3 else f"s{rng.randint(0, 4)}"), rng.choice(["en"] * 12 + ["de"] * 3 + ["es"])
+        topic = rng.choice(kinds[:2] if source == "hot" else kinds)
+        rows.append((i, " ".join([topic] * 3 + ["ab"] * rng.randint(1, 60)), lang, source, 0))
+    rows += [(1000 + i, "ab cd", "es", "s0", 0) for i in range(3)]
+    cells = mixing.mixed(spark.createDataFrame(rows, DOCS)).groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.sum(F.expr("tokens * probability")).alias("sampled")).toPandas()
+    total, sampled = cells.tokens.sum(), cells.sampled.sum()
+    assert (cells.sampled <= cells.tokens * (1 + 1e-9)).all() and 0.5 * total < sampled <= 0.8 * total
+    for d in mixing.DIMENSIONS:
+        held = cells.groupby(d).tokens.sum() / total / 0.8
+        target = held**0.7 / (held**0.7).sum()
+        low, high = 1.0, 100.0  # the factor at which the bounded targets sum to 1
+        for _ in range(60):
+            low, high = ((low + high) / 2, high) if np.minimum(held, (low + high) / 2 * target).sum() < 1 else (low, (low + high) / 2)
+        assert np.allclose(cells.groupby(d).sampled.sum() / sampled, np.minimum(held, high * target), rtol=5e-3), d
+
+
 def test_mixing_samples_by_the_same_decisions(spark):
     rng = random.Random(4)
     df = table(spark, [words(rng, rng.randint(1, 80)) for _ in range(300)] + [None, "", "a"]).withColumn("tokens", F.lit(1))
