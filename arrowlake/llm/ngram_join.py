@@ -69,13 +69,13 @@ def _signatures(k: int):
                 low = np.array([s[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 m = j - i
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, m), pa.array(sizes), pa.array(prints, pa.binary()), pa.array(low), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                    names=["doc_id", "n", "fp", "low", "slice", "counts"],
+                    [batch.column("doc_id").slice(i, m), batch.column("key").slice(i, m), pa.array(sizes), pa.array(prints, pa.binary()), pa.array(low), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                    names=["doc_id", "key", "n", "fp", "low", "slice", "counts"],
                 )
         if counts.any():
             packed = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
-            none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "fp", "low", "slice", "counts"])
+            none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "key", "n", "fp", "low", "slice", "counts"])
 
     return run
 
@@ -270,10 +270,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     reported as it came, with the smallest non-null id of its component; extra columns are ignored; an empty table
     gives an empty result. Links are exact, up to equal 64-bit hashes of different shingles.
     """
+    return jaccard_rows(docs, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``jaccard_components`` with what tells rows and components apart where ids are null or repeated: ``key`` is the
+    row's ``xxhash64`` of the text, ``component`` the component itself (null where a row has no shingles)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = checkpointed(texts.mapInArrow(_signatures(k), "doc_id long, n long, fp binary, low long, slice int, counts binary"))
-    rows = signed.where("slice IS NULL").select("doc_id", "n", "fp", "low")
+    signed = checkpointed(texts.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_signatures(k), "doc_id long, key long, n long, fp binary, low long, slice int, counts binary"))
+    rows = signed.where("slice IS NULL").select("doc_id", "key", "n", "fp", "low")
     slices = signed.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInPandas(_add_counts, "slice int, counts binary").collect()
     rarity = spark.sparkContext.broadcast(b"".join(bytes(x.counts) for x in sorted(slices)) or bytes(4 * BUCKETS))
 
@@ -317,9 +323,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     labels = connected_components(edges).withColumnRenamed("node", "fp")
     named = classes.select("fp", "least").join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(names, "component").select("fp", "component_id")
+    ids = named.join(names, "component").select("fp", "component", "component_id")
     out = rows.join(ids, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component")).alias("component")
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component, F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

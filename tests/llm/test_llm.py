@@ -277,6 +277,16 @@ def test_mixing_samples_by_the_same_decisions(spark):
     assert mixing.mixed(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    rng = random.Random(13)
+    a, b, c, d, e, f = (words(rng, 60) for _ in range(6))
+    rows = [(None, a), (None, b), (None, a), (5, c), (5, d), (3, e), (9, e + " end"), (9, f), (20, None), (20, None), (20, ""), (4, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()]
+    wanted = [(None, a), (4, b), (5, c), (5, d), (3, e), (9, f), (20, None), (20, "")]
+    assert sorted(map(str, left)) == sorted(map(str, wanted))
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     rng = random.Random(11)
     texts = [f"{words(rng, 60)}." for _ in range(60)]
