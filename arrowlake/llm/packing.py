@@ -1,9 +1,9 @@
 """Packing token pieces into windows by Karmarkar-Karp multiway differencing.
 
 Each document is tokenised where it lies and cut at multiples of the window: full pieces are windows of their own,
-and the rest is cut into small pieces. Pieces (without their ids) are dealt by a hash to blocks of a bounded
-number of tokens. A block's pieces start as partial partitions of one filled window each; the two partitions with
-the largest imbalance are merged, the fullest windows of one with the emptiest of the other, until one partition
+and the rest is cut into small pieces. Pieces (without their ids) are dealt by a hash of their row to blocks of a
+bounded number of tokens. A block's pieces start as partial partitions of one filled window each; the two partitions
+with the largest imbalance are merged, the fullest windows of one with the emptiest of the other, until one partition
 of near-equal windows is left. Whenever a window exceeds the capacity, the block is packed again with one window
 more.
 """
@@ -24,20 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.materialize import checkpointed
+from .hashing import STEP, mix
 
 WINDOW, CUT, BLOCK_WINDOWS = 2048, 256, 256
-CACHED_WORDS = 400_000
-# Letters, digits and white space among the Latin-1 bytes, after lower-casing.
-LETTERS, DIGITS, SPACES = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe", rb"\t-\r \x85\xa0"
-#: The splitting rule of the tokeniser for such texts; its order matters only between the last two.
-SPLIT = re.compile(rb"[%b]+|[%b]|'(?:s|t|re|ve|m|ll|d)|[^%b%b%b]+" % (LETTERS, DIGITS, SPACES, LETTERS, DIGITS))
-
-
-def byte_letters() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return [chr(b) if b not in hidden else chr(256 + hidden.index(b)) for b in range(256)]
+CACHED_WORDS = 600_000
+SPACE, LETTER, DIGIT, OTHER = range(4)
+# The tokeniser's kinds of Latin-1 characters after lower-casing, and the endings that it splits off.
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[*range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = LETTER
+KIND[[*range(48, 58), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = DIGIT
+KIND[[*range(9, 14), 32, 0x85, 0xA0]] = SPACE
+ENDINGS = [b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"]
+PACKED = 4  # a word of up to so many times eight bytes is compared as integers
 
 
 def load_tokenizer(name: str):
@@ -52,40 +50,149 @@ def load_tokenizer(name: str):
     return Tokenizer.from_file(name)
 
 
+def split_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words that the tokeniser sees in lower-cased Latin-1 bytes that end in a line feed."""
+    kind = KIND[data]
+    begin = np.ones(len(data), bool)
+    begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    mark = np.flatnonzero(begin[:-1] & (data[:-1] == ord("'")) & (kind[1:] == LETTER))
+    after = np.stack([data[mark + 1], data[np.minimum(mark + 2, len(data) - 1)]])
+    for ending in ENDINGS:
+        hit = mark[np.all([after[i] == c for i, c in enumerate(ending)], axis=0)]
+        begin[hit + 1] = False
+        begin[hit + 1 + len(ending)] = True
+    edges = np.append(np.flatnonzero(begin), len(data))
+    word = kind[edges[:-1]] != SPACE
+    return edges[:-1][word], edges[1:][word]
+
+
+def number_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, example): words[i] equals words[example[which[i]]], and examples are distinct."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8 * PACKED, np.uint8)])
+    eights = np.ndarray(len(data) + 8 * (PACKED - 1) + 1, "<u8", padded.data, strides=(1,))
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    parts, key = [], size.astype(np.uint64)
+    for k in range(PACKED):
+        at = np.arange(len(size)) if k == 0 else np.flatnonzero(size > 8 * k)
+        value = eights[starts[at] + 8 * k] & masks[np.minimum(size[at] - 8 * k, 8)]
+        key[at] = mix(key[at] * STEP + value)
+        parts.append((at, value))
+    raw, seen, long = data.tobytes(), {}, np.flatnonzero(size > 8 * PACKED)
+    serial = np.array([seen.setdefault(raw[starts[i] : ends[i]], len(seen)) for i in long], np.uint64)
+    key[long] = mix(key[long] * STEP + serial)
+    order = np.argsort(key)
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    example = order[new]
+    twin = example[which]
+    same = np.array_equal(size, size[twin])
+    for at, value in [*parts, (long, serial)] if same else []:  # equal keys are not taken for equal words
+        whole = np.zeros(len(size), np.uint64)
+        whole[at] = value
+        same = same and np.array_equal(value, whole[twin[at]])
+    if not same:
+        words = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+        first = {w: i for i, w in reversed(list(enumerate(words)))}
+        example, which = np.unique([first[w] for w in words], return_inverse=True)
+    return which, example
+
+
 class WordEncoder:
-    """Ids of whole texts, remembering those of frequent words.
+    """Ids of whole texts, remembering those of the words met so far.
 
-    Texts of Latin-1 characters are lower-cased and split here by the tokeniser's rule, and only words not yet
-    known go through its model. Any other text, or one that may hold a special token, goes through it whole.
+    Texts of Latin-1 characters are lower-cased and split here by the tokeniser's rule, a block of texts at once, and
+    only words not yet known go through its model. Other texts are cut at blanks, and the cuts not yet known go through
+    it; a text that may hold a special token goes through it whole.
     """
 
     def __init__(self, tokenizer, most: int = CACHED_WORDS) -> None:
-        self._tokenizer, self._most, self._ids = tokenizer, most, {}
-        self._letters = byte_letters()
-
-    def _word(self, word: bytes) -> bytes:
-        spelled = "".join(self._letters[b] for b in word.decode("latin-1").encode())
-        return array("I", [x.id for x in self._tokenizer.model.tokenize(spelled)]).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
-        try:
-            plain = text.lower().encode("latin-1") if "<|" not in text and "\u0130" not in text and "\u212a" not in text else None
-        except UnicodeEncodeError:
-            plain = None
-        if plain is None:
-            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        words = SPLIT.findall(plain)
-        ids = self._ids
-        try:
-            return b"".join([ids[w] for w in words])
-        except KeyError:
-            if len(ids) + len(words) > self._most:
-                ids.clear()
-            for w in words:
-                if w not in ids:
-                    ids[w] = self._word(w)
-            return b"".join([ids[w] for w in words])
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self._tokenizer, self._most = tokenizer, most
+        self._words = Tokenizer.from_str(tokenizer.to_str())  # for words that are split and lower-cased already
+        self._words.normalizer = normalizers.Sequence([])
+        self._words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = tokenizer.get_vocab()
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self._place: dict[bytes, int] = {}
+        self._cuts: dict[str, bytes] = {}
+        self._ids, self._first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        joined = b" ".join(words).decode("latin-1")
+        ids = np.array(self._words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self._last[ids]) + 1
+        if len(ends) != len(words):  # not a vocabulary with word ends
+            each = [self._words.encode(w.decode("latin-1"), add_special_tokens=False).ids for w in words]
+            ids, ends = np.array(sum(each, []), np.uint32), np.cumsum([len(x) for x in each])
+        for w in words:
+            self._place[w] = len(self._place)
+        self._first = np.concatenate([self._first, len(self._ids) + ends])
+        self._ids = np.concatenate([self._ids, ids])
+
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        starts, ends = split_words(data)
+        which, example = number_words(data, starts, ends)
+        if len(self._place) + len(example) > self._most:
+            self._forget()
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[example], ends[example], strict=True)]
+        unknown = [w for w in words if w not in self._place]
+        if unknown:
+            self._learn(unknown)
+        place = np.array([self._place[w] for w in words], np.int64)[which] if words else np.zeros(0, np.int64)
+        n = self._first[place + 1] - self._first[place]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        ids = self._ids[np.repeat(self._first[place] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = 4 * np.concatenate([[0], stop[np.searchsorted(starts, text_ends)]])
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _by_blanks(self, text: str) -> bytes:
+        cuts = [c for c in re.split("[ \t\r\n]+", text) if c]
+        unknown = [c for c in dict.fromkeys(cuts) if c not in self._cuts]
+        if len(self._cuts) + len(unknown) > self._most:
+            self._cuts.clear()
+            unknown = list(dict.fromkeys(cuts))
+        for c, e in zip(unknown, self._tokenizer.encode_batch(unknown, add_special_tokens=False), strict=True):
+            self._cuts[c] = array("I", e.ids).tobytes()
+        return b"".join([self._cuts[c] for c in cuts])
+
+    def encode(self, texts: list[str | None], block: int = 1 << 22) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, in order."""
+        group: dict[int, bytes | None] = {}
+        plain: list[bytes] = []
+        size = 0
+        for i, text in enumerate(texts):
+            text = text or ""
+            group[i] = None
+            try:
+                if "<|" in text:
+                    group[i] = self._whole(text)
+                elif "\u0130" in text or "\u212a" in text:
+                    group[i] = self._by_blanks(text)
+                else:
+                    plain.append(text.lower().encode("latin-1"))
+            except UnicodeEncodeError:
+                group[i] = self._by_blanks(text)
+            size += len(text)
+            if size >= block or i == len(texts) - 1:
+                made = iter(self._block(plain) if plain else [])
+                yield from (next(made) if ids is None else ids for ids in group.values())
+                group, plain, size = {}, [], 0
 
 
 def _pieces(tokenizer: str, end_id: int, window: int, cut: int):
@@ -95,8 +202,8 @@ def _pieces(tokenizer: str, end_id: int, window: int, cut: int):
         encoder = WordEncoder(load_tokenizer(tokenizer))
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                tokens = encoder.encode(text.as_py() or "") + end
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+                tokens += end
                 n, at = len(tokens) // 4, 0
                 while at < n:
                     length = window if n - at >= window else min(cut, n - at)
@@ -135,7 +242,7 @@ def differencing(sizes: np.ndarray, windows: int) -> list[list[int]]:
 
 def _pack(window: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values("row").reset_index(drop=True)
         size = rows.length.to_numpy()
         whole = np.flatnonzero(size == window)
         rest = np.flatnonzero(size < window)
@@ -145,13 +252,12 @@ def _pack(window: int):
             count += 1
             packed = differencing(size[rest], count)
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        packed = [m for m in packed if m]
-        for w, m in enumerate(packed):
-            at = rest[np.sort(m)]
+        packed = [rest[np.sort(m)] for m in packed if m]
+        for w, at in enumerate(packed):
             sequence[at] = w
             offset[at] = np.cumsum(size[at]) - size[at]
         sequence[whole] = len(packed) + np.arange(len(whole))
-        return rows.assign(sequence_id=rows.block * (1 << 32) + sequence, offset=offset).drop(columns="block")
+        return rows.assign(sequence_id=rows.block * (1 << 32) + sequence, offset=offset).drop(columns=["block", "row"])
 
     return run
 
@@ -163,14 +269,15 @@ def pack_documents(
 
     A document is its ids and then ``end_id``; each id lies in exactly one piece, and a sequence's pieces fill it
     from 0 without gaps. Cases: a null or empty text is ``end_id`` alone; a null id stays null; repeated rows are
-    packed each; a very long text is cut over many blocks; extra columns are ignored; an empty table gives none.
+    packed each, in any block; a very long text is cut over many blocks; extra columns are ignored; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = checkpointed(rows.mapInArrow(_pieces(tokenizer, end_id, window, cut), kind))
     total = pieces.agg(F.sum("length")).first()[0] or 0
     blocks = max(1, round(total / (window * BLOCK_WINDOWS)))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
+    numbered = pieces.withColumn("row", F.monotonically_increasing_id())  # fixed, as the pieces are written
+    dealt = numbered.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     return dealt.groupBy("block").applyInPandas(_pack(window), f"{kind}, sequence_id long, offset long")
 
 
