@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCOPE = 200
+PART = 128
 
 # The kinds in the order in which equal starts are listed, with their patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,6 +25,36 @@ KINDS = ["assign", "access", "hex", "secret", "endpoint"]
 BASE_KINDS = 3
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)``, the value being worked out once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _parts(items: Column) -> Column:
+    """``items`` cut into runs of ``PART``; no items are one empty run."""
+    n = F.greatest(F.size(items) - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.floor(n / PART).cast("int")), lambda i: F.slice(items, i * PART + 1, F.lit(PART)))
+
+
+def running(items: Column, state: dict[str, Column], step, emit, kind: str) -> Column:
+    """``emit(state, item)`` of every item, in order, where ``step(state, item)`` renews the state after each.
+
+    Results are gathered run by run: growing one array an item at a time would copy it as often as it has items.
+    """
+    names = list(state)
+    begun = F.struct(*[v.alias(k) for k, v in state.items()], F.array().cast(f"array<array<{kind}>>").alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        new = step(acc, x)
+        return F.struct(*[new[k].alias(k) for k in names], F.concat(acc["out"], F.array(emit(acc, x))).alias("out"))
+
+    def run(acc: Column, part: Column) -> Column:
+        begin = F.struct(*[acc[k].alias(k) for k in names], F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(part, begin, one, lambda a: F.struct(*[a[k].alias(k) for k in names], F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+    return bound(items, lambda held: F.aggregate(_parts(held), begun, run, lambda acc: F.flatten(acc["out"])))
+
+
 def _spans(text: Column, pattern: str, kind: int, valid=None) -> Column:
     """Array of (start, end, kind) of the leftmost non-overlapping matches, in code points, end exclusive.
 
@@ -31,24 +62,14 @@ def _spans(text: Column, pattern: str, kind: int, valid=None) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    placed = F.aggregate(
+    placed = running(
         F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("b")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,kind:int,m:string>>").alias("out")),
+        {"at": F.lit(0).cast("long")},
+        lambda acc, x: {"at": (acc["at"] + F.length(x["b"]) + F.length(x["m"])).cast("long")},
         lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["b"]) + F.length(x["m"])).cast("long").alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["b"])).alias("start"),
-                        (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("end"),
-                        F.lit(kind).alias("kind"),
-                        x["m"].alias("m"),
-                    )
-                ),
-            ).alias("out"),
+            (acc["at"] + F.length(x["b"])).alias("start"), (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("m")
         ),
-        lambda acc: acc["out"],
+        "struct<start:bigint,end:bigint,kind:int,m:string>",
     )
     kept = F.filter(placed, valid) if valid is not None else placed
     bare = F.transform(kept, lambda s: F.struct(s["start"], s["end"], s["kind"]))
@@ -76,37 +97,34 @@ def linked_spans(spans: Column, scope: int = SCOPE) -> Column:
     """The reported spans, sorted by start, then kind: base spans, and weak parts whose complement lies in scope.
 
     A merge of the sorted intervals, forwards and then backwards: each step knows where the nearest identifier,
-    secret and endpoint lie on that side. Weak parts inside a base span are taken out at the end.
+    secret and endpoint lie on that side, and how far the base spans met so far reach: weak parts inside one are left
+    out.
     """
     far = F.lit(-(10**15)).cast("long")
-    kept_type = "array<struct<start:bigint,kind:int,end:bigint,ok:boolean>>"
-    empty = F.array().cast(kept_type)
+    kind = "struct<start:bigint,kind:int,end:bigint,ok:boolean,inside:boolean>"
 
-    def step(sign: int):
-        def merge(acc: Column, s: Column) -> Column:
+    def merged(items: Column, sign: int) -> Column:
+        def step(acc: Column, s: Column) -> dict[str, Column]:
             at = s["start"] * sign
-            close = lambda x: (at - x) <= scope
+            return {
+                "name": F.when(s["kind"] == 1, at).otherwise(acc["name"]),
+                "value": F.when(s["kind"].isin(0, 3), at).otherwise(acc["value"]),
+                "place": F.when(s["kind"] == 4, at).otherwise(acc["place"]),
+                "reach": F.when(s["kind"] < BASE_KINDS, F.greatest(acc["reach"], s["end"])).otherwise(acc["reach"]),
+            }
+
+        def emit(acc: Column, s: Column) -> Column:
+            close = lambda x: (s["start"] * sign - x) <= scope
             linked = F.when(s["kind"] == 3, close(acc["name"]) | close(acc["place"])).otherwise(close(acc["name"]) | close(acc["value"]))
-            strong = s["kind"] < BASE_KINDS
-            ok = s["ok"] | strong | linked
-            return F.struct(
-                F.when(s["kind"] == 1, at).otherwise(acc["name"]).alias("name"),
-                F.when(s["kind"].isin(0, 3), at).otherwise(acc["value"]).alias("value"),
-                F.when(s["kind"] == 4, at).otherwise(acc["place"]).alias("place"),
-                F.concat(acc["out"], F.array(F.struct(s["start"], s["kind"], s["end"], ok.alias("ok")))).alias("out"),
-            )
-
-        return merge
-
-    start = F.struct(far.alias("name"), far.alias("value"), far.alias("place"), empty.alias("out"))
-    listed = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(False).alias("ok"))))
-    free = F.aggregate(listed, start, step(1), lambda acc: acc["out"])
-    both = F.aggregate(F.reverse(free), start, step(-1), lambda acc: F.reverse(acc["out"]))
+            inside = s["inside"] | (acc["reach"] >= s["end"]) if sign > 0 else s["inside"]
+            return F.struct(s["start"], s["kind"], s["end"], (s["ok"] | linked).alias("ok"), inside.alias("inside"))
+
+        return running(items, {"name": far, "value": far, "place": far, "reach": far}, step, emit, kind)
+
+    listed = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(False).alias("ok"), F.lit(False).alias("inside"))))
+    both = F.reverse(merged(F.reverse(merged(listed, 1)), -1))
     weak = F.exists(spans, lambda s: s["kind"] >= BASE_KINDS)
-    chosen = F.filter(F.when(weak, both).otherwise(listed), lambda s: s["ok"] | (s["kind"] < BASE_KINDS))
-    inside = F.filter(chosen, lambda s: s["kind"] < BASE_KINDS)
-    clear = lambda s: (s["kind"] < BASE_KINDS) | ~F.exists(inside, lambda x: (x["start"] <= s["start"]) & (x["end"] >= s["end"]))
-    chosen = F.when(weak, F.filter(chosen, clear)).otherwise(chosen)
+    chosen = F.filter(F.when(weak, both).otherwise(listed), lambda s: (s["kind"] < BASE_KINDS) | (s["ok"] & ~s["inside"]))
     return F.when(F.size(spans) > 0, F.transform(chosen, lambda s: F.struct(s["start"], s["kind"], s["end"]))).otherwise(
         F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     )
@@ -125,33 +143,42 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", scope: int = SCOPE, ou
     return found.withColumn(out_col, linked_spans(F.col(f"`{out_col}`"), scope))
 
 
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with each run of overlapping spans replaced by ``mark``; a run of cuts is taken from its own piece of text."""
+    cuts = running(
+        spans,
+        {"at": F.lit(0).cast("long")},
+        lambda acc, s: {"at": F.greatest(acc["at"], s["end"])},
+        lambda acc, s: F.struct(acc["at"].alias("from"), s["start"].alias("to"), (s["start"] >= acc["at"]).alias("new"), F.greatest(acc["at"], s["end"]).alias("next")),
+        "struct<from:bigint,to:bigint,new:boolean,next:bigint>",
+    )
+    after = lambda s, at, n: F.substring(s, (at + 1).cast("int"), n.cast("int"))
+
+    def joined(part: Column) -> Column:
+        begin, end = part[0]["from"], F.array_max(F.transform(part, lambda c: c["to"]))
+        cut = lambda p: F.transform(part, lambda c: F.when(c["new"], F.concat(after(p, c["from"] - begin, c["to"] - c["from"]), F.lit(mark))).otherwise(""))
+        return bound(after(text, begin, end - begin), lambda p: F.array_join(cut(p), ""))
+
+    whole = bound(cuts, lambda c: F.concat(F.array_join(F.transform(_parts(c), joined), ""), after(text, F.element_at(c, -1)["next"], F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``mark`` (overlapping spans by one), and the count of
     code points in ``chars_col`` renewed where something was replaced. Same columns; texts without a span, and null
-    texts, stay as they are."""
-    found = scan_secrets(docs, text_col, out_col="secret spans")
-    text = F.col(f"`{text_col}`")
-    step = F.aggregate(
-        F.col("`secret spans`"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
-    )
-    hit = F.size(F.col("`secret spans`")) > 0
-    out = found.withColumn("clean text", F.when(hit, step).otherwise(text))
+    texts, stay as they are; the row travels as a struct, so no column name can clash."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.col(f"doc.`{text_col}`")
+    found = scan_secrets(rows.withColumn("text", text), out_col="spans")
+    out = found.select("doc", F.size("spans").alias("n"), _without(F.col("text").cast("string"), F.col("spans"), mark).alias("clean"))
     columns = []
     for c in docs.columns:
+        own = F.col(f"doc.`{c}`")
         if c == text_col:
-            columns.append(F.col("`clean text`").alias(c))
+            own = F.when(F.col("n") > 0, F.col("clean")).otherwise(own)
         elif c == chars_col:
-            columns.append(F.when(hit, F.length(F.col("`clean text`")).cast("long")).otherwise(F.col(f"`{c}`")).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
+            own = F.when(F.col("n") > 0, F.length("clean").cast("long")).otherwise(own)
+        columns.append(own.alias(c))
     return out.select(*columns)
 
 
