@@ -16,13 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LONG_MAX, LONG_MIN = (1 << 63) - 1, -(1 << 63)
-PAIR_SCHEMA = "query_id long, candidate_id long, score long, shard long"
+PAIR_SCHEMA = "query_id long, query_row long, candidate_id long, score long, shard long"
+LARGEST = 1.7976931348623157e308
 
 
 def scaled_components(vector: Column, scale: int = 64) -> Column:
-    """``floor(scale * x)`` of every component as double (exact for floats), null for vectors that take no part."""
-    usable = vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(usable, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")))
+    """``floor(scale * x)`` of every component as double, null for vectors that take no part."""
+    usable = vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+    def scaled(x: Column) -> Column:
+        y = F.greatest(F.least(F.lit(scale) * x.cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)  # beyond, every double is whole
+
+    return F.when(usable, F.transform(vector, scaled))
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -46,11 +52,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _tile(k: int, rows: int):
-    def run(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    names = ["query_id", "query_row", "candidate_id", "score", "shard"]
+
+    def tile(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        out = []
         if len(queries) and len(candidates):
-            width = max(queries.v.map(len).max(), candidates.cv.map(len).max())
+            width = max(1, queries.v.map(len).max(), candidates.cv.map(len).max())
             q, c = _matrix(queries.v, width), _matrix(candidates.cv, width)
-            qid, cid = queries.id.to_numpy(), candidates.cid.to_numpy()
+            qid, qrow, cid, crow = (x.to_numpy() for x in (queries.id, queries.row, candidates.cid, candidates.crow))
             exact = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * width < 2.0**53
             if not exact:  # beyond doubles' integers: Python's own integers
                 q, c = (np.array([[int(x) for x in row] for row in m], dtype=object) for m in (q, c))
@@ -58,17 +67,12 @@ def _tile(k: int, rows: int):
                 scores = q[i : i + rows] @ c.T
                 if not exact:
                     scores = np.array([[min(max(x, LONG_MIN), LONG_MAX) for x in row] for row in scores], dtype=object)
-                out = []
-                for j, row in enumerate(scores):
-                    other = np.flatnonzero(cid != qid[i + j])
-                    own = row[other].astype(np.int64)
-                    best = _best(own, cid[other], k)
-                    out.append(pd.DataFrame({"query_id": qid[i + j], "candidate_id": cid[other][best], "score": own[best], "shard": key[1]}))
-                yield pd.concat(out)
-
-    def tile(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        parts = list(run(key, queries, candidates))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "candidate_id": [], "score": [], "shard": []}, dtype="int64")
+                for j, row in enumerate(scores.astype(np.int64), i):
+                    other = np.flatnonzero(crow != qrow[j])
+                    best = other[_best(row[other], cid[other], k)]
+                    out.append((np.full(len(best), qid[j]), np.full(len(best), qrow[j]), cid[best], row[best], np.full(len(best), key[1])))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+        return pd.DataFrame(dict(zip(names, columns, strict=True)))
 
     return tile
 
@@ -80,59 +84,64 @@ def top_k_search(
     vector_col: str = "embedding",
     k: int = 20,
     scale: int = 64,
-    query_block: int = 2048,
-    shard_rows: int = 16384,
+    query_block: int = 32768,
+    shard_rows: int = 65536,
     merge_fan_in: int = 32,
 ) -> DataFrame:
-    """The ``k`` candidates of highest integer inner product for every query row: ``(query_id, rank, candidate_id, score)``.
+    """The ``k`` candidates of highest integer inner product for every query row: ``(query_id, rank, candidate_id, score,
+    query_row)``.
 
-    ``queries`` is a predicate on ``vectors`` naming the query rows; candidates are all rows with another id.
+    ``queries`` is a predicate on ``vectors`` naming the query rows; candidates are all rows but the query's own.
     Vectors become ``floor(scale * x)``. Ties go to the smaller id; ``rank`` runs from 1; a query with fewer
-    candidates returns all. Cases: rows with a null id, or a null, empty or non-finite vector, take no part;
-    a shorter vector counts as padded with zeros; rows repeating an id are separate candidates and one query
-    (the smallest vector); scores outside a long saturate. Extra columns are ignored. An empty table gives an
-    empty result.
+    candidates returns all. Cases: rows with a null id, or a null or non-finite vector, take no part; a shorter
+    vector, and so an empty one, counts as padded with zeros; rows repeating an id are candidates and queries of their
+    own, told apart by ``query_row``, and candidates of each other; scores outside a long saturate. Extra columns are
+    ignored. An empty table gives an empty result.
 
     A tile holds at most ``query_block`` queries and ``shard_rows`` candidates on average, whatever the table's
-    size, and rows are dealt by a hash of id and row position, so no key can fill a tile.
+    size, and rows are dealt by a hash of id and row position, so no key can fill a tile. Each query travels once a
+    shard and each candidate once a query block, so both are as large as a task can hold.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), scaled_components(F.col(vector_col), scale).alias("v"), queries.alias("asks"))
-    rows = rows.where("id IS NOT NULL AND v IS NOT NULL").withColumn("deal", F.xxhash64("id", F.monotonically_increasing_id()))
+    row = F.monotonically_increasing_id().alias("row")  # fixed, as both sides read the same splits of the same table
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), scaled_components(F.col(vector_col), scale).alias("v"), queries.alias("asks"), row)
+    rows = rows.where("id IS NOT NULL AND v IS NOT NULL").withColumn("deal", F.xxhash64("id", "row"))
     counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    blocks, shards = max(1, -(-counts.q // query_block)), max(1, -(-counts.n // shard_rows))
-    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    asked = asked.select("id", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks, shards = max(1, -(-counts.q // query_block)), max(1, -(-counts.n // shard_rows), min(cores, counts.n // 2048))
+    asked = rows.where("asks").withColumn("block", F.pmod("deal", F.lit(blocks)))
+    asked = asked.select("id", "row", "v", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     # computed anew, as the two sides of a cogroup must not share attributes
     offered = rows.withColumn("shard", F.pmod("deal", F.lit(shards)))
     blocks_of = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    offered = offered.select((F.col("id") + 0).alias("cid"), F.slice("v", 1, F.size("v")).alias("cv"), "shard", F.explode(blocks_of).alias("block"))
-    partial = asked.groupBy("block", "shard").cogroup(offered.groupBy("block", "shard")).applyInPandas(_tile(k, 256), PAIR_SCHEMA)
+    offered = offered.select((F.col("id") + 0).alias("cid"), (F.col("row") + 0).alias("crow"), F.slice("v", 1, F.size("v")).alias("cv"), "shard", F.explode(blocks_of).alias("block"))
+    partial = asked.groupBy("block", "shard").cogroup(offered.groupBy("block", "shard")).applyInPandas(_tile(k, 64), PAIR_SCHEMA)
     order = [F.desc("score"), F.asc("candidate_id")]
     while shards > merge_fan_in:  # a level of the tree: lists of a group of shards become one
         shards = -(-shards // merge_fan_in)
         partial = partial.withColumn("shard", F.pmod("shard", F.lit(shards)))
-        w = Window.partitionBy("query_id", "shard").orderBy(*order)
+        w = Window.partitionBy("query_id", "query_row", "shard").orderBy(*order)
         partial = partial.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
-    w = Window.partitionBy("query_id").orderBy(*order)
-    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "candidate_id", "score")
+    w = Window.partitionBy("query_id", "query_row").orderBy(*order)
+    ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "candidate_id", "score", "query_row")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding whose id is divisible by 20 against all others."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    return top_k_search(vectors, F.col("vec_id") % 20 == 0).withColumnRenamed("candidate_id", "vec_id")
+    found = top_k_search(vectors, F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("candidate_id").alias("vec_id"), "score")
 
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  SELECT row_number() OVER () AS r, vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.e) = 0 OR len(c.e) = 0 THEN 0 ELSE CAST(list_inner_product(q.e, c.e) AS BIGINT) END AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s
 ) t WHERE rank <= 20
 """
