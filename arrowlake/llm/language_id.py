@@ -1,8 +1,9 @@
 """Language identification by string kernels.
 
 The kernel of two texts is the blended spectrum of byte n-gram presence: for n = 2 and 3, the number of n-grams
-both have, over the geometric mean of their numbers, averaged over n. A bounded sample supplies Nystroem
-landmarks and the training rows; kernel ridge regression, one against the rest, gives weights on the landmarks.
+both have, over the geometric mean of their numbers, averaged over n. N-grams are counted by hash, in 4,096 slots for n = 2
+and 8,192 for n = 3: bytes of one script fill few of them, and n-grams that share a slot count as one. A bounded
+sample, of a bounded number of languages, supplies Nystroem landmarks and the training rows; kernel ridge regression, one against the rest, gives weights on the landmarks.
 Whole texts are scored in batches: presence matrix times landmark matrix, times weights.
 """
 
@@ -19,7 +20,9 @@ from .hashing import blocks, mix, raw_texts
 
 SPECTRA = ((2, 1 << 12), (3, 1 << 13))
 WIDTH = sum(size for _, size in SPECTRA)
+#: Rows and landmarks a language; all rows and landmarks together; and languages that are learnt, the most frequent.
 PER_LANGUAGE, LANDMARKS = 400, 32
+TAUGHT_ROWS, ALL_LANDMARKS, MOST_LANGUAGES = 16_000, 1024, 256
 ROWS = 256
 UNKNOWN = "und"
 
@@ -68,6 +71,7 @@ def fit(rows: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridg
     classes = sorted(set(languages))
     y = np.array([classes.index(x) for x in languages])
     x = normalised(rows)
+    landmarks = max(1, min(landmarks, ALL_LANDMARKS // len(classes)))
     chosen = np.concatenate([np.flatnonzero(y == c)[:landmarks] for c in range(len(classes))])
     marks = x[chosen]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -105,8 +109,9 @@ def _predicted(classes: list[str], model):
 def identify_language(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """``docs`` (its struct as ``doc``) with ``lang_pred`` and ``score``; learns from rows where ``teaches`` holds.
 
-    The model is fitted on about ``per_language`` rows of each language, drawn by a hash of the text. Cases: a
-    null text, or one without letters, is ``und`` with score 0, as is every text if no row teaches; null languages
+    The model is fitted on about ``per_language`` rows of each language (fewer where ``TAUGHT_ROWS`` in all would be
+    exceeded), drawn by a hash of the text, of the ``MOST_LANGUAGES`` most frequent languages. Cases: a text with letters
+    but shorter than two bytes has no n-gram, and equal scores go to the first language by name; a null text, or one without letters, is ``und`` with score 0, as is every text if no row teaches; null languages
     do not teach; one language alone is always predicted; repeated rows are predicted alike; an empty table gives an
     empty result.
     """
@@ -115,7 +120,8 @@ def identify_language(docs: DataFrame, teaches: Column, text_col: str = "text",
     lang = F.col(f"`{lang_col}`").cast("string")
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     taught = docs.where(teaches & lang.isNotNull() & lettered)
-    counts = taught.groupBy(lang.alias("lang")).count().collect()  # a row per language
+    counts = taught.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    per_language = min(per_language, TAUGHT_ROWS // max(1, len(counts)))
     draw = F.shiftrightunsigned(F.xxhash64(text), 11) / F.lit(float(1 << 53))
     within = F.lit(False)
     for r in counts:
