@@ -99,7 +99,8 @@ def _prefixes(k: int, percent: int, rarity):
                     order = np.argsort(count[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")
                     out.append(s[order[: n + (-percent * n // 100) + shared_at_least(n) if n else 0]].view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)), pa.array(np.concatenate(out)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(prints, pa.binary()), lists], names=["doc_id", "fp", "tokens"])
+                own = (batch.column(c).slice(i, j - i) for c in ("rep", "key"))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(prints, pa.binary()), lists], names=["rep", "key", "fp", "tokens"])
 
     return run
 
@@ -120,13 +121,13 @@ def _bit_table(tokens: DataFrame) -> bytes:
 
 
 def _marked_rows(bitmap):
-    """Texts whose id's bit is set, so that only these are shuffled; other ids that share the bit fall out in the join."""
+    """Texts whose row's bit is set, so that only these are shuffled; other rows that share the bit fall out in the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
             keep = pa.array(np.flatnonzero(bits[token_slots(batch.column("h").to_numpy()).astype(np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(keep), batch.column("text").take(keep)], names=["rep", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("rep", "key", "text")], names=["rep", "key", "text"])
 
     return run
 
@@ -283,15 +284,19 @@ def jaccard_rows(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     slices = signed.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInPandas(_add_counts, "slice int, counts binary").collect()
     rarity = spark.sparkContext.broadcast(b"".join(bytes(x.counts) for x in sorted(slices)) or bytes(4 * BUCKETS))
 
-    own = F.coalesce("doc_id", F.lit(NO_ID))
-    classes = rows.where((F.col("n") > 0)).groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(own).alias("rep"), F.min("n").alias("n"), F.min("low").alias("low"))
+    # a class is represented by its row of smallest id and text hash, so that neither null nor repeated ids are join keys
+    own = F.coalesce("doc_id", F.lit(NO_ID)).alias("rep")
+    classes = rows.where((F.col("n") > 0)).groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(own, "key")).alias("rep"), F.min("n").alias("n"), F.min("low").alias("low"))
+    classes = classes.select("fp", "least", "rep.rep", "rep.key", "n", "low")
     able = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent)  # smaller sets only link with equal ones
     parts = able.groupBy("low").agg(F.greatest(F.ceil(F.count("*") / GROUP_DOCS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
-    nodes = able.join(parts, "low").select("fp", "rep", "n", F.xxhash64("low", F.pmod(F.xxhash64("fp"), "parts")).alias("g"))
+    nodes = able.join(parts, "low").select("fp", "rep", "key", "n", F.xxhash64("low", F.pmod(F.xxhash64("fp"), "parts")).alias("g"))
     nodes = checkpointed(nodes)
 
-    prefixes = texts.mapInArrow(_prefixes(k, percent, rarity), "doc_id long, fp binary, tokens array<long>")
-    prefixes = prefixes.withColumn("rep", own).drop("doc_id").join(nodes, ["fp", "rep"]).select("g", "n", "tokens")
+    keyed = texts.select(own, F.xxhash64("text").alias("key"), "text")
+    prefixes = keyed.mapInArrow(_prefixes(k, percent, rarity), "rep long, key long, fp binary, tokens array<long>")
+    prefixes = prefixes.groupBy("fp", "rep", "key").agg(F.first("tokens").alias("tokens"))  # equal rows meet once
+    prefixes = prefixes.join(nodes, ["fp", "rep", "key"]).select("g", "n", "tokens")
     prefixes = checkpointed(prefixes)
     shared = prefixes.select("g", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("z"))
     shared = checkpointed(shared.where("a < z").select("token"))
@@ -311,10 +316,10 @@ def jaccard_rows(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     several = nodes.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
     wanted = pairs.select(F.col("ga").alias("g")).union(pairs.select("gb")).union(several).distinct()
     targets = pairs.groupBy(F.col("ga").alias("g")).agg(F.collect_list("gb").alias("targets"))
-    asked = checkpointed(nodes.join(wanted, "g", "left_semi").join(targets, "g", "left").select("rep", "fp", "g", "targets"))
-    marked = spark.sparkContext.broadcast(_bit_table(asked.select(F.xxhash64("rep").alias("token"))))
-    opened = texts.select(own.alias("rep"), F.xxhash64(own).alias("h"), "text").mapInArrow(_marked_rows(marked), "rep long, text string")
-    opened = opened.join(asked, "rep").select("text", "fp", "g", "targets").mapInArrow(_asked_sets(k), "g long, asks boolean, fp binary, tokens binary")
+    asked = checkpointed(nodes.join(wanted, "g", "left_semi").join(targets, "g", "left").select("rep", "key", "fp", "g", "targets"))
+    marked = spark.sparkContext.broadcast(_bit_table(asked.select(F.xxhash64("rep", "key").alias("token"))))
+    opened = keyed.select("rep", "key", F.xxhash64("rep", "key").alias("h"), "text").mapInArrow(_marked_rows(marked), "rep long, key long, text string")
+    opened = opened.groupBy("rep", "key").agg(F.first("text").alias("text")).join(asked, ["rep", "key"]).select("text", "fp", "g", "targets").mapInArrow(_asked_sets(k), "g long, asks boolean, fp binary, tokens binary")
     edges = opened.repartition("g").sortWithinPartitions("g", "asks").mapInPandas(_open(percent), "u binary, v binary")
     edges = checkpointed(edges)
     del prefixes, matrix, shared, asked, opened
