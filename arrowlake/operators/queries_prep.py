@@ -46,14 +46,14 @@ def qa_tasks(samples: DataFrame, questions: dict[str, str], triplets: DataFrame)
 
 
 def stroke_boxes(points: DataFrame, groups: DataFrame, size: float = 1333, pad: float = 20) -> DataFrame:
-    """Pixel boxes of stroke groups: (diagram_id, trace_id, x, y) points and (diagram_id, group_id, trace_id) members.
+    """Pixel boxes of stroke groups: (diagram_id, stroke_id, x, y) points and (diagram_id, group_id, stroke_id) members.
 
     Each diagram is scaled so that its longer side fits ``size`` less the padding on both sides; corners are cut
     to whole pixels.
     """
     ext = points.groupBy("diagram_id").agg(F.min("x").alias("lx"), F.min("y").alias("ly"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
     scale = F.coalesce(F.try_divide(F.lit(size - 2 * pad), "span"), F.lit(1.0))
-    box = points.join(groups, ["diagram_id", "trace_id"]).groupBy("diagram_id", "group_id").agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    box = points.join(groups, ["diagram_id", "stroke_id"]).groupBy("diagram_id", "group_id").agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
     px = lambda c, low: ((F.col(c) - F.col(low)) * scale + pad).cast("int")
     return box.join(ext, "diagram_id").select("diagram_id", "group_id", px("lox", "lx").alias("x1"), px("loy", "ly").alias("y1"), px("hix", "lx").alias("x2"), px("hiy", "ly").alias("y2"))
 

@@ -54,8 +54,8 @@ SELECT image_id AS diagram_id, box_id % 2 AS group_id, CAST(trunc((min(x) - any_
   CAST(trunc((max(x) - any_value(lx)) * (1293::DOUBLE / any_value(span)) + 20) AS INTEGER) AS x2, CAST(trunc((max(y) - any_value(ly)) * (1293::DOUBLE / any_value(span)) + 20) AS INTEGER) AS y2 FROM p JOIN e USING (image_id) GROUP BY image_id, box_id % 2""",
 )
 def strokes(b: DataFrame) -> DataFrame:
-    points = b.select(F.col("image_id").alias("diagram_id"), F.col("box_id").alias("trace_id"), F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("diagram_id", "trace_id", "p.*")
-    return qp.stroke_boxes(points, b.select(F.col("image_id").alias("diagram_id"), (F.col("box_id") % 2).alias("group_id"), F.col("box_id").alias("trace_id")))
+    points = b.select(F.col("image_id").alias("diagram_id"), F.col("box_id").alias("stroke_id"), F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("diagram_id", "stroke_id", "p.*")
+    return qp.stroke_boxes(points, b.select(F.col("image_id").alias("diagram_id"), (F.col("box_id") % 2).alias("group_id"), F.col("box_id").alias("stroke_id")))
 
 
 @query(

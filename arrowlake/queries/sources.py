@@ -53,11 +53,11 @@ def coco(b: DataFrame) -> DataFrame:
     return triplets.parse_coco(texts)[1].select("image_id", "id", "category_id", F.col("bbox")[2].alias("w"))
 
 
-@query("a11_resolve_paths", "fx_boxes", sql="SELECT image_id, box_id, CASE WHEN box_id % 2 = 0 THEN concat('data_4_training/fcb/', image_id, '.jpg') ELSE '' END AS resolved FROM {fx_boxes}")
+@query("a11_resolve_paths", "fx_boxes", sql="SELECT image_id, box_id, CASE WHEN box_id % 2 = 0 THEN concat('training/fcb/', image_id, '.jpg') ELSE '' END AS resolved FROM {fx_boxes}")
 def paths(b: DataFrame) -> DataFrame:
     name = lambda *parts: F.concat(*[F.lit(p) if p.startswith("/") or p.endswith("/") or "." in p else F.col(p).cast("string") for p in parts])
-    asked = b.select("image_id", "box_id", F.lit("x").alias("folder"), F.when(F.col("box_id") % 4 == 0, name("/old/data_4_training/fcb/", "image_id", ".jpg")).when(F.col("box_id") % 2 == 0, name("fcb/", "image_id", ".jpg")).otherwise("missing.jpg").alias("path"))
-    found = triplets.resolve_paths(asked.select("path", "folder").distinct(), b.select(name("data_4_training/fcb/", "image_id", ".jpg").alias("file")).distinct())
+    asked = b.select("image_id", "box_id", F.lit("x").alias("folder"), F.when(F.col("box_id") % 4 == 0, name("/old/training/fcb/", "image_id", ".jpg")).when(F.col("box_id") % 2 == 0, name("fcb/", "image_id", ".jpg")).otherwise("missing.jpg").alias("path"))
+    found = triplets.resolve_paths(asked.select("path", "folder").distinct(), b.select(name("training/fcb/", "image_id", ".jpg").alias("file")).distinct())
     return asked.join(found, ["path", "folder"]).select("image_id", "box_id", "resolved")
 
 

@@ -88,10 +88,10 @@ def parse_coco(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(doc.select(F.explode(f"d.{n}").alias("x")).select("x.*") for n in ("images", "annotations", "categories"))
 
 
-def resolve_paths(arrows: DataFrame, listing: DataFrame, base: str = "") -> DataFrame:
+def resolve_paths(arrows: DataFrame, listing: DataFrame, base: str = "", marker: str = "training/") -> DataFrame:
     """``arrows`` (path, folder) with ``resolved``: the listed file named by the path as given, relative to its folder,
-    under ``data_4_training/``, or by the suffix after that; else empty."""
-    p, marker = F.col("path"), "data_4_training/"
+    under ``marker``, or by the suffix after that; else empty."""
+    p = F.col("path")
     after = F.when(p.contains(marker), F.substring_index(p, marker, -1)).otherwise(p)
     root = F.lit(base) if base else F.lit("")
     options = F.array(p, F.concat_ws("/", "folder", p), F.concat(root, F.lit(marker), p), F.concat(root, F.lit(marker), after))

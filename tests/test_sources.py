@@ -10,7 +10,7 @@ from arrowlake.streaming.tracks import confirm_available
 
 
 def test_paths_resolve_relative_and_relocated(spark):
-    file = "data_4_training/fcb/sample/annotated_images/arrow.jpg"
+    file = "training/fcb/sample/annotated_images/arrow.jpg"
     listing = spark.createDataFrame([("/new/Dataset/" + file,)], "file string")
     asked = spark.createDataFrame([("fcb/sample/annotated_images/arrow.jpg", "x"), ("/old/machine/Dataset/" + file, "x"), ("missing.jpg", "x")], "path string, folder string")
     out = [r.resolved for r in triplets.resolve_paths(asked, listing, "/new/Dataset/").orderBy(F.length("path")).collect()]
