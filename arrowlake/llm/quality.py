@@ -50,15 +50,30 @@ SHAPES[[*range(97, 123), *range(128, 256)]] = ord("a")
 SHAPES[65:91] = ord("A")
 SHAPES[48:58] = ord("0")
 OTHER_SCRIPT = 0xCD  # the first byte of UTF-8 characters beyond the Latin ones is at least this
+BLOCK, ROWS = 1 << 18, 512  # bytes and texts that are looked at together
 LONG_WORD, ENOUGH_WORDS, SOME_WORDS, ENOUGH_CHARS = 22, 20, 10, 100
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums of values[:i] for each i."""
+    out = np.zeros(len(values) + 1, np.int32)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
 def _segment(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values[at[i]:at[i + 1]]."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = _sums(values)
     return (total[at[1:]] - total[at[:-1]]).astype(np.float64)
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for i, j, part, at in blocks(data, offsets, BLOCK):
+        for lo in range(0, j - i, ROWS):
+            own = at[lo : lo + ROWS + 1]
+            yield i + lo, i + lo + len(own) - 1, part[own[0] : own[-1]], own - own[0]
+
+
 def _distinct(values: np.ndarray) -> np.ndarray:
     """How often each distinct value occurs."""
     ordered = np.sort(values)
@@ -90,17 +105,18 @@ def statistics(data: np.ndarray, offsets: np.ndarray, hasher: WordHasher) -> np.
     size = np.maximum(_segment(begins, offsets), 1)
     upper, lower = (data >= 65) & (data <= 90), (data >= 97) & (data <= 122)
     letters = np.maximum(_segment(upper, offsets) + _segment(lower, offsets), 1)
-    chars, marks, symbols, capitals, smalls = (np.concatenate([[0], np.cumsum(x)]) for x in (begins, MARKS[data], SYMBOLS[data], upper, lower))
+    chars, marks, symbols, capitals, smalls = (_sums(x) for x in (begins, MARKS[data], SYMBOLS[data], upper, lower))
     length = chars[ends] - chars[starts]
     of_marks = marks[ends] - marks[starts]
-    twice = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(MARKS[data[1:]] & (data[1:] == data[:-1]), out=twice[2:]) if len(data) > 1 else None
+    again = np.zeros(len(data), bool)
+    again[1:] = MARKS[data[1:]] & (data[1:] == data[:-1])
+    twice = _sums(again)
     doubled = (twice[ends] - twice[np.minimum(starts + 1, ends)]) > 0
     shouted = (capitals[ends] - capitals[starts] >= 3) & (smalls[ends] == smalls[starts])
     same = np.zeros(len(words), bool)
     same[1:] = words[1:] == words[:-1]
     same[first[:-1][first[:-1] < len(words)]] = False
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    digits = _sums((data >= 48) & (data <= 57))
     lettered = digits[ends] == digits[starts]
     other = _segment(data >= OTHER_SCRIPT, offsets) / size > 0.2
     between = [sum(LABELLERS[k]) / 2 for k in ("long_words", "word_length")]
@@ -133,7 +149,7 @@ def _patterns():
         hasher = WordHasher()
         for batch in batches:
             data, offsets = raw_texts(batch.column("text"))
-            for i, j, part, at in blocks(data, offsets):
+            for i, j, part, at in _parts(data, offsets):
                 v = votes(statistics(part, at, hasher)).astype(np.int64) + 1
                 pattern = v @ (3 ** np.arange(v.shape[1]))
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), pa.array(pattern)], names=["key", "pattern"])
@@ -163,7 +179,7 @@ def _sampled():
         hasher = WordHasher()
         for batch in batches:
             data, offsets = raw_texts(batch.column("text"))
-            for i, j, part, at in blocks(data, offsets):
+            for i, j, part, at in _parts(data, offsets):
                 stats = statistics(part, at, hasher)
                 rows = [x.astype(np.float16).tobytes() for x in features(part, at, stats)]
                 pattern = (votes(stats).astype(np.int64) + 1) @ (3 ** np.arange(stats.shape[1]))
@@ -221,7 +237,7 @@ def _scored(weights: np.ndarray):
         for batch in batches:
             data, offsets = raw_texts(batch.column("text"))
             scores = []
-            for _, _, part, at in blocks(data, offsets):
+            for _, _, part, at in _parts(data, offsets):
                 x = features(part, at, statistics(part, at, hasher))
                 scores.append(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -40, 40))))
             score = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
