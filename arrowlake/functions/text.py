@@ -82,3 +82,30 @@ def similar_at_least(a: Column, b: Column, threshold: float) -> Column:
 def keep_valid_triplets(df, src: str = "src", dst: str = "dst"):
     """Rows with both ends, of which the target is not pending."""
     return df.where((strip(F.col(src)) != "") & (strip(F.col(dst)) != "") & (F.lower(strip(F.col(dst))) != "pending"))
+
+
+# LaTeX commands and what they are typed as, in the order in which they are replaced: an earlier one also takes
+# the beginning of a longer name, as \le does in \leq.
+MATH_SYMBOLS = {
+    r"\cdot ": "·", r"\times": "×", r"\div": "÷", r"\pm": "±", r"\mp": "∓", r"\le": "<=", r"\leq": "<=", r"\ge": ">=", r"\geq": ">=", r"\ne": "!=", r"\neq": "!=", r"\lt": "<", r"\gt": ">",
+    r"\approx": "≈", r"\equiv": "≡", r"\Delta": "Delta", r"\delta": "delta", r"\alpha": "alpha", r"\beta": "beta", r"\gamma": "gamma", r"\theta": "theta", r"\lambda": "lambda", r"\mu": "mu",
+    r"\pi": "pi", r"\sigma": "sigma", r"\omega": "omega", r"\infty": "∞", r"\sum": "sum", r"\prod": "prod", r"\int": "integral", r"\lim": "lim", r"\sin": "sin", r"\cos": "cos", r"\tan": "tan",
+    r"\log": "log", r"\ln": "ln", r"\exp": "exp",
+}
+
+
+def math_label(col: Column) -> Column:
+    """A label's LaTeX as typed text: roots before fractions, braces of sub- and superscripts taken off, then symbols."""
+    out = F.regexp_replace(F.coalesce(col, F.lit("")), r"\\sqrt\{([^{}]+)\}", r"sqrt($1)")
+    out = F.regexp_replace(out, r"\\frac\{([^}]+)\}\{([^}]+)\}", r"($1)/($2)")
+    for mark, pattern in (("^", r"\^\{([^{}]+)\}"), ("_", r"_\{([^{}]+)\}")):
+        out = F.regexp_replace(out, pattern, f"{mark}$1")
+    for symbol, typed in MATH_SYMBOLS.items():
+        out = F.replace(out, F.lit(symbol), F.lit(typed))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(out, F.lit("$"), F.lit("")), r"\\{2,}", " "), r"\s+", " "))
+
+
+def corpus_math_labels(labels, label: str = "label"):
+    """(``labels`` with ``math_label`` applied, number of distinct labels of each diagram)."""
+    done = labels.withColumn(label, math_label(F.col(label)))
+    return done, done.groupBy("graph_id").agg(F.count_distinct(label).alias("labels"))

@@ -119,3 +119,99 @@ def head_boxes(b: DataFrame) -> DataFrame:
 def tips(b: DataFrame) -> DataFrame:
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     return b.select("image_id", "box_id", diagrams.polygon_tip_base(F.array(p("x1", "y1"), p("x2", "y1"), p("x2", "y2"), p("x1", "y2"), p("x1", "y1"))).alias("t")).select("image_id", "box_id", "t.*")
+
+
+def _grouped(e: DataFrame, opening, node, closing: str) -> DataFrame:
+    """Texts in which each graph's targets stand in one of two groups, by the parity of their part."""
+    side = F.col("partkey") % 2
+    body = e.withColumn("side", side).groupBy("graph_id", "side").agg(F.concat(opening(F.col("side")), F.array_join(F.sort_array(F.collect_set(node)), "\n"), F.lit("\n" + closing)).alias("block"))
+    return body.groupBy("graph_id").agg(F.array_join(F.sort_array(F.collect_list("block")), "\n").alias("text"))
+
+
+HELD = "SELECT DISTINCT graph_id, concat('P', partkey) AS id, concat('side ', partkey % 2) AS container FROM {fx_edges}"
+NAMED = "SELECT DISTINCT graph_id, concat('P', partkey) AS id, dst AS text FROM {fx_edges}"
+
+
+def _says(*parts) -> "F.Column":
+    return F.concat(*[F.lit(p) if not p.startswith("@") else F.col(p[1:]).cast("string") for p in parts])
+
+
+@query("c3_dot_containment", "fx_edges", sql=HELD)
+def dot_held(e: DataFrame) -> DataFrame:
+    text = _grouped(e, lambda s: F.concat(F.lit("subgraph cluster_"), s.cast("string"), F.lit(' {\n label="side '), s.cast("string"), F.lit('";\n')), _says("P", "@partkey", " [shape=box];"), "}")
+    return diagrams.dot_containment(text)
+
+
+@query("c4_mermaid_containment", "fx_edges", sql=HELD)
+def mermaid_held(e: DataFrame) -> DataFrame:
+    return diagrams.mermaid_containment(_grouped(e, lambda s: F.concat(F.lit("subgraph side "), s.cast("string"), F.lit("\n")), _says("  P", "@partkey", "[x]"), "end"))
+
+
+@query("c4_mermaid_declared", "fx_edges", sql=NAMED)
+def mermaid_named(e: DataFrame) -> DataFrame:
+    return diagrams.mermaid_declared(_grouped(e, lambda s: F.concat(F.lit("subgraph side "), s.cast("string"), F.lit("\n")), _says("  P", "@partkey", "[/", "@dst", "/]"), "end"))
+
+
+@query("c5_plantuml_containment", "fx_edges", sql=HELD)
+def plantuml_held(e: DataFrame) -> DataFrame:
+    return diagrams.plantuml_containment(_grouped(e, lambda s: F.concat(F.lit('rectangle "side '), s.cast("string"), F.lit('" as Group'), s.cast("string"), F.lit(" {\n")), _says('  rectangle "', "@dst", '" as P', "@partkey"), "}"))
+
+
+@query("c5_plantuml_nodes", "fx_edges", sql=NAMED)
+def plantuml_named(e: DataFrame) -> DataFrame:
+    return diagrams.plantuml_nodes(_grouped(e, lambda s: F.concat(F.lit('package "side '), s.cast("string"), F.lit('" as Group'), s.cast("string"), F.lit(" {\n")), _says('  rectangle "', "@dst", '" as P', "@partkey"), "}"))
+
+
+@query(
+    "c6_bpmn_flows",
+    "fx_edges",
+    sql="""SELECT graph_id AS doc_id, concat('F', arrow_id) AS flow_id, src AS source, concat('pool ', graph_id) AS source_pool, concat('lane ', suppkey % 2) AS source_lane,
+  CASE rel WHEN 'connectedTo' THEN '' ELSE rel END AS condition, CASE WHEN partkey % 5 = 0 THEN 'task' WHEN partkey % 7 = 0 THEN concat('P', partkey) ELSE dst END AS target,
+  CASE WHEN partkey % 5 <> 0 AND partkey % 7 = 0 THEN NULL ELSE concat('pool ', graph_id) END AS target_pool, '' AS target_lane FROM {fx_edges}""",
+)
+def bpmn(e: DataFrame) -> DataFrame:
+    from ..sources.markup import bpmn_flows
+
+    lane = e.groupBy("graph_id", (F.col("suppkey") % 2).alias("side")).agg(F.array_join(F.collect_set(_says("<bpmn:flowNodeRef>S", "@suppkey", "</bpmn:flowNodeRef>")), "").alias("refs"))
+    lanes = lane.groupBy("graph_id").agg(F.array_join(F.collect_list(_says('<bpmn:lane id="l" name="lane ', "@side", '">', "@refs", "</bpmn:lane>")), "").alias("lanes"))
+    name = F.when(F.col("partkey") % 5 == 0, "").otherwise(_says(' name="', "@dst", '"'))
+    target = F.when((F.col("partkey") % 5 != 0) & (F.col("partkey") % 7 == 0), "").otherwise(F.concat(_says('<bpmn:task id="P', "@partkey", '"'), name, F.lit("/>")))
+    cond = F.when(F.col("rel") == "connectedTo", "").otherwise(F.col("rel"))
+    flow = F.concat(_says('<bpmn:sequenceFlow id="F', "@arrow_id", '" sourceRef="S', "@suppkey", '" targetRef="P', "@partkey", '" name=" '), cond, F.lit('"/>'))
+    parts = e.groupBy("graph_id").agg(F.array_join(F.collect_set(F.concat(_says('<bpmn:userTask name="', "@src", '" id="S', "@suppkey", '"/>'), target)), "\n").alias("nodes"), F.array_join(F.collect_list(flow), "\n").alias("flows")).join(lanes, "graph_id")
+    text = _says('<definitions><bpmn:collaboration><bpmn:participant name="pool\n', "@graph_id", '" processRef="p1"/></bpmn:collaboration><bpmn:process id="p1" name="other"><bpmn:laneSet>', "@lanes", "</bpmn:laneSet>", "@nodes", "@flows", "</bpmn:process></definitions>")
+    return bpmn_flows(parts.select(F.col("graph_id").alias("doc_id"), text.alias("text")))
+
+
+@query(
+    "c8_inkml_relations",
+    "fx_edges",
+    sql="""SELECT graph_id AS diagram_id, concat('a', arrow_id) AS arrow_id, CASE WHEN suppkey % 3 = 0 THEN 'No Text' ELSE src END AS source, dst AS target, CASE rel WHEN 'connectedTo' THEN '' ELSE rel END AS condition
+FROM {fx_edges} WHERE partkey % 11 <> 0""",
+)
+def inkml(e: DataFrame) -> DataFrame:
+    from ..sources.markup import inkml_relations
+
+    one = lambda i, kind, text: F.struct(i.alias("symbol_id"), F.lit(kind).alias("type"), text.cast("string").alias("text"))
+    ids = {k: _says(k, "@arrow_id") for k in "astcr"}
+    own = F.when(F.col("suppkey") % 3 == 0, " ").otherwise(F.col("src"))
+    symbols = e.select("graph_id", F.explode(F.array(one(ids["a"], "arrow", F.lit(None)), one(ids["s"], "node", own), one(ids["t"], "node", F.lit("?")), one(ids["c"], "text", F.col("dst")), one(ids["r"], "text", F.when(F.col("rel") != "connectedTo", F.col("rel"))))).alias("x")).select(F.col("graph_id").alias("diagram_id"), "x.*")
+    rel = lambda k, kind, *refs: F.struct((F.col("arrow_id") * 4 + k).alias("no"), F.lit(kind).alias("type"), F.array(*refs).alias("refs"))
+    third = F.when(F.col("partkey") % 11 == 0, ids["c"]).otherwise(F.lit("unknown"))
+    relations = e.select("graph_id", F.explode(F.array(rel(0, "arrow_connection", ids["s"], ids["a"], ids["t"], third), rel(1, "text_inside", ids["c"], ids["t"]), rel(2, "arrow_label", ids["a"], ids["r"]))).alias("x")).select(F.col("graph_id").alias("diagram_id"), "x.*")
+    return inkml_relations(symbols, relations).drop("no")
+
+
+@query(
+    "c10_svg_arrow_tips",
+    "fx_boxes",
+    sql="""SELECT image_id AS doc_id, row_number() OVER (PARTITION BY image_id ORDER BY box_id) AS edge_no, concat('entity', box_id) AS source_id, concat('entity', category_id) AS target_id, x1 + 5 AS prev_x, y1 + 2.5::DOUBLE AS prev_y, x2 + 5 AS tip_x, y2 + 2.5::DOUBLE AS tip_y
+FROM {fx_boxes} WHERE box_id % 4 <> 0""",
+)
+def svg(b: DataFrame) -> DataFrame:
+    from ..sources.markup import svg_arrow_tips
+
+    kind = F.when(F.col("box_id") % 4 == 0, "label-line").otherwise("edge flowchart-link")
+    path = F.concat(F.lit('<path d="M1,1L'), _says("@x1", ",", "@y1", " L", "@x2", " ", "@y2", '" class="'), kind, _says(" LS-entity", "@box_id", " LE-entity", "@category_id", '"/>'))
+    texts = b.groupBy("image_id").agg(F.concat(F.lit('<svg viewBox="-5 -2.5 100 100">'), ordered_join("box_id", path, "\n"), F.lit("</svg>")).alias("text"))
+    return svg_arrow_tips(texts.select(F.col("image_id").alias("doc_id"), "text"))

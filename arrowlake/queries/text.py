@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import edit_similarity, graph_label, join_multi, keep_valid_triplets, normalize_label, normalize_relation
+from ..functions.text import corpus_math_labels, edit_similarity, graph_label, join_multi, keep_valid_triplets, normalize_label, normalize_relation
 from ..registry import query
 
 
@@ -60,3 +60,14 @@ FROM {fx_edges} e JOIN {fx_pred} p USING (graph_id, arrow_id)""",
 def similarity(e: DataFrame, p: DataFrame) -> DataFrame:
     both = e.alias("e").join(p.alias("p"), ["graph_id", "arrow_id"])
     return both.select("graph_id", "arrow_id", edit_similarity(F.col("e.dst"), F.col("p.dst")).alias("similarity"))
+
+
+@query("b4_math_labels", "fx_edges", sql="SELECT graph_id, concat('sqrt(', dst, ') <=q (', src, ')/(2) + alpha_n^', rel) AS label FROM {fx_edges}")
+def math_labels(e: DataFrame) -> DataFrame:
+    latex = F.concat(F.lit(r"$\sqrt{"), "dst", F.lit(r"} \leq \frac{"), "src", F.lit("}{2}$ \\\\\\\\ + \\alpha_{n}^{"), "rel", F.lit("}"))
+    return corpus_math_labels(e.select("graph_id", latex.alias("label")))[0]
+
+
+@query("b4_math_label_counts", "fx_edges", sql="SELECT graph_id, count(DISTINCT dst) AS labels FROM {fx_edges} GROUP BY graph_id")
+def math_label_counts(e: DataFrame) -> DataFrame:
+    return corpus_math_labels(e.select("graph_id", F.concat(F.lit(r"$\sqrt{"), "dst", F.lit("}$")).alias("label")))[1]

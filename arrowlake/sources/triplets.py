@@ -42,7 +42,7 @@ def parse_annotations(files: DataFrame) -> DataFrame:
 
 
 def read_arrows(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
     return parse_annotations(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 

@@ -22,7 +22,7 @@ def test_annotations_from_files(spark, tmp_path):
     for name, body in (("g1/a.json", {"arrows": [arrow]}), ("g1/a_merged.json", {"arrows": [arrow, arrow]}), ("g2/a.json", {"arrows": []}), ("g3/a.json", "not json")):
         path = tmp_path / name
         path.parent.mkdir(exist_ok=True)
-        path.write_text(body if isinstance(body, str) else json.dumps(body))
+        path.write_text(body if isinstance(body, str) else json.dumps(body, indent=1))
     out = triplets.read_arrows(spark, str(tmp_path)).collect()
     assert [(r.graph_id, r.source, r.target, r.condition, r.bbox) for r in out] == [("g1", ["A", "B"], ["C", "D"], ["yes"], [1.0, 2.0, 3.0, 4.5])] * 2
 
