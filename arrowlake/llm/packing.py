@@ -15,7 +15,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ from ..plans.materialize import checkpointed
 from .hashing import STEP, mix
 
 WINDOW, CUT, BLOCK_WINDOWS = 2048, 256, 256
-CACHED_WORDS = 600_000
+CACHED_WORDS, BLOCK = 400_000, 1 << 19
 SPACE, LETTER, DIGIT, OTHER = range(4)
 # The tokeniser's kinds of Latin-1 characters after lower-casing, and the endings that it splits off.
 KIND = np.full(256, OTHER, np.uint8)
@@ -171,28 +171,33 @@ class WordEncoder:
             self._cuts[c] = array("I", e.ids).tobytes()
         return b"".join([self._cuts[c] for c in cuts])
 
-    def encode(self, texts: list[str | None], block: int = 1 << 22) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, in order."""
-        group: dict[int, bytes | None] = {}
+    def encode(self, texts: Iterable[str | None], block: int = BLOCK) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, in order; texts are taken a block at a time."""
+        group: list[bytes | None] = []
         plain: list[bytes] = []
         size = 0
-        for i, text in enumerate(texts):
+
+        def done() -> Iterator[bytes]:
+            made = iter(self._block(plain) if plain else [])
+            yield from (next(made) if ids is None else ids for ids in group)
+
+        for text in texts:
             text = text or ""
-            group[i] = None
             try:
                 if "<|" in text:
-                    group[i] = self._whole(text)
+                    group.append(self._whole(text))
                 elif "\u0130" in text or "\u212a" in text:
-                    group[i] = self._by_blanks(text)
+                    group.append(self._by_blanks(text))
                 else:
                     plain.append(text.lower().encode("latin-1"))
+                    group.append(None)
             except UnicodeEncodeError:
-                group[i] = self._by_blanks(text)
+                group.append(self._by_blanks(text))
             size += len(text)
-            if size >= block or i == len(texts) - 1:
-                made = iter(self._block(plain) if plain else [])
-                yield from (next(made) if ids is None else ids for ids in group.values())
-                group, plain, size = {}, [], 0
+            if size >= block:
+                yield from done()
+                group, plain, size = [], [], 0
+        yield from done()
 
 
 def _pieces(tokenizer: str, end_id: int, window: int, cut: int):
@@ -202,7 +207,7 @@ def _pieces(tokenizer: str, end_id: int, window: int, cut: int):
         encoder = WordEncoder(load_tokenizer(tokenizer))
         for batch in batches:
             rows = []
-            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode(x.as_py() for x in batch.column("text")), strict=True):
                 tokens += end
                 n, at = len(tokens) // 4, 0
                 while at < n:
