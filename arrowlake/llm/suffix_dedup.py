@@ -6,8 +6,10 @@ content - the smallest hash of ``SEED`` bytes in each window of ``LENGTH`` - whi
 position in a hundred, where residues of a cover modulo 128 would keep one in nine. Sampled suffixes are dealt to
 buckets by their first ``SEED`` bytes, and only buckets with two members matter. Inside a bucket ties are long;
 they are resolved first by the precomputed rank (hash) of each sample's whole neighbourhood, so equal
-neighbourhoods meet without their bytes, and only distinct ones are read again and compared, one bucket at a time.
-All windows that hold a sample overlap, so what is repeated around it is one interval.
+neighbourhoods meet without their bytes, and only distinct ones are read again and sorted, one bucket at a time; what
+neighbours in sorted order have in common, on either side, gives the repeated windows. Buckets too large for a task
+are never gathered: joins halve the range of window starts instead. All windows that hold a sample overlap, so what is
+repeated around it is one interval.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from ..plans.materialize import checkpointed, release_shuffles
 from .hashing import BASE, BYTE_TABLE, INVERSE, mix, powers, raw_texts
 
 LENGTH, SEED = 200, 32
+#: An anchor with more distinct neighbourhoods than this is compared by joins; up to so many are sorted in one task.
+HOT = 20_000
 BITS = 1 << 24
 CHUNK = 1 << 22
 BATCH = 20_000
@@ -149,24 +153,40 @@ def _padded(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def sorted_suffixes(anchor: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): rows sorted by anchor, then bytes, and how many bytes each has in common with the one before it (-1 at
+    another anchor)."""
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    words[:, : rows.shape[1]] = rows
+    words = words.view(">u8")
+    order = np.lexsort([*words.T[::-1], anchor])
+    differs = rows[order[1:]] != rows[order[:-1]]
+    common = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
+    return order, np.where(anchor[order[1:]] == anchor[order[:-1]], common, -1)
+
+
+def classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """Equal numbers for rows that have ``depth`` bytes in common, rising in sorted order."""
+    out = np.zeros(len(order), np.int64)
+    out[order[1:]] = np.cumsum(common < depth)
+    return out
+
+
 def repeated_windows(anchor: np.ndarray, before: list[bytes], after: list[bytes], length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """For distinct neighbourhoods of several anchors: the fewest and the most bytes before the anchor at which a
-    window starts that another neighbourhood of the same anchor also has (most is -1 where there is none)."""
+    window starts that another neighbourhood of the same anchor also has (most is -1 where there is none).
+
+    The suffixes from the anchors on are sorted, and so are the reversed prefixes before them; what neighbours in these
+    orders have in common tells which rows agree to any depth on either side, byte for byte."""
     reach = length - seed
     left, nl = _padded(before, reach)
     right, nr = _padded(after, length)
-    up = powers(BASE, length)
-    behind = np.zeros(len(anchor), np.uint64)
-    ahead = (BYTE_TABLE[right] * up * (np.arange(length) < nr[:, None])).sum(1, dtype=np.uint64)
+    behind, ahead = sorted_suffixes(anchor, left), sorted_suffixes(anchor, right)
     least, most = np.full(len(anchor), length), np.full(len(anchor), -1)
-    scramble = mix(anchor.astype(np.int64).view(np.uint64))
     for b in range(reach + 1):  # the window starts b bytes before the anchor
-        if b:
-            behind += BYTE_TABLE[left[:, b - 1]] * up[b - 1]
-            ahead -= BYTE_TABLE[right[:, length - b]] * up[length - b] * (length - b < nr)
         valid = np.flatnonzero((nl >= b) & (nr >= length - b))
         if len(valid) > 1:
-            key = mix(mix(behind[valid]) + ahead[valid] + scramble[valid])
+            key = classes(*behind, b)[valid] * len(anchor) + classes(*ahead, length - b)[valid]
             order = np.argsort(key)
             same = key[order[1:]] == key[order[:-1]]
             hit = np.zeros(len(valid), bool)
@@ -178,6 +198,38 @@ def repeated_windows(anchor: np.ndarray, before: list[bytes], after: list[bytes]
     return least, most
 
 
+def hot_windows(around: DataFrame, length: int, seed: int) -> DataFrame:
+    """``repeated_windows`` of anchors with very many neighbourhoods, by joins alone: no bucket is gathered in a task.
+
+    Window starts are taken in ranges. All windows of a range share the bytes that each of them holds; rows are grouped by
+    these, and a row alone in its group repeats nothing in the range. Rows with equal bytes wherever the range
+    reaches repeat all of it, and one of them goes on as a partner for the others; groups of several kinds go on with
+    both halves of the range. A range of one start has groups of one kind only, so halving ends.
+    """
+    reach = length - seed
+    part = lambda c, n: F.substring(c, F.lit(1), n.cast("int"))
+    digest = lambda *c: F.struct(F.xxhash64(*c), F.xxhash64(F.lit(1), *c))
+    rows = around.withColumns({"lo": F.lit(0), "hi": F.lit(reach), "told": F.lit(False)})
+    found = None
+    while True:
+        valid = (F.octet_length("before") >= F.col("lo")) & (F.octet_length("after") >= length - F.col("hi"))
+        rows = rows.where(valid).withColumn("group", digest("anchor", "lo", "hi", part("before", F.col("lo")), part("after", length - F.col("hi"))))
+        rows = checkpointed(rows.withColumn("kind", digest(part("before", F.col("hi")), part("after", length - F.col("lo")), F.least(F.octet_length("before"), F.col("hi")), F.least(F.octet_length("after"), length - F.col("lo")))))
+        kinds = rows.groupBy("group", "kind").agg(F.count("*").alias("c"), F.min("around").alias("around"), F.bool_or("told").alias("known"))
+        twins = rows.where("NOT told").join(kinds.where("c > 1").select("group", "kind"), ["group", "kind"], "left_semi")
+        least = F.greatest(F.col("lo"), length - F.octet_length("after"))
+        twins = checkpointed(twins.select("anchor", "around", least.alias("least"), F.least(F.col("hi"), F.octet_length("before")).alias("most")))
+        found = twins if found is None else found.unionByName(twins)
+        mixed = kinds.groupBy("group").agg(F.count("*").alias("k"), F.min("known").alias("done")).where("k > 1 AND NOT done").select("group")
+        going = kinds.select("group", "kind", "around", (F.col("known") | (F.col("c") > 1)).alias("told")).join(mixed, "group", "left_semi")
+        rows = rows.drop("told").join(going, ["group", "kind", "around"])
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))).alias("r")
+        rows = checkpointed(rows.where("lo < hi").select("anchor", "around", "before", "after", "told", halves).select("anchor", "around", "before", "after", "told", "r.lo", "r.hi"))
+        if rows.isEmpty():
+            return found.where("least <= most").groupBy("anchor", "around").agg(F.min("least").cast("long").alias("least"), F.max("most").cast("long").alias("most"))
+
+
 def _compared(length: int, seed: int):
     """Intervals of distinct neighbourhoods, bucket by bucket; rows come sorted by anchor."""
 
@@ -253,12 +305,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
 
     Cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; rows with the same text
     lose all of it if it is long enough; null and repeated ids are reported as they come; extra columns are
-    ignored; an empty table gives an empty result. Strings are compared by 64-bit hashes of their bytes.
+    ignored; an empty table gives an empty result. Equal neighbourhoods are recognised by 64-bit hashes within an anchor,
+    equal texts by 128 bits, all other strings by their bytes or, of crowded anchors, 128 bits.
     """
 
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("key"), F.xxhash64(F.lit(1), text).alias("more"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     long = texts.where(F.col("n_bytes") >= length).select("key", "text")
 
     every = long.mapInArrow(_anchors(length, seed), ANCHOR)
@@ -271,16 +324,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
 
     kinds = places.groupBy("anchor", "around").agg(F.count("*").alias("c"), F.min("key").alias("key"))
     kinds = checkpointed(kinds)
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    sources = kinds.join(several, "anchor", "left_semi").select("anchor", "around", "key")
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    crowded = checkpointed(several.where(F.col("k") > HOT).select("anchor"))
+    sources = kinds.join(several.select("anchor"), "anchor", "left_semi").select("anchor", "around", "key")
     sources = places.join(sources, ["anchor", "around", "key"]).groupBy("anchor", "around", "key").agg(F.min("pos").alias("pos"))
     wanted = checkpointed(sources.groupBy("key").agg(F.collect_list(F.struct("anchor", "around", "pos")).alias("wanted")))
     marked = spark.sparkContext.broadcast(bit_table(wanted.select("key")))
     source_texts = long.mapInArrow(_with_text_where(marked), "key long, text string").where("text IS NOT NULL")
     source_texts = source_texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     around = source_texts.mapInArrow(_neighbourhoods(length, seed), "anchor long, around long, before binary, after binary")
-    found = around.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_compared(length, seed), "anchor long, around long, least long, most long")
+    few = around.join(crowded, "anchor", "left_anti") if (some := not crowded.isEmpty()) else around
+    found = few.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_compared(length, seed), "anchor long, around long, least long, most long")
     found = checkpointed(found)
+    if some:
+        found = found.unionByName(hot_windows(around.join(crowded, "anchor", "left_semi"), length, seed))
     release_shuffles(spark)
 
     alike = kinds.where("c > 1").select("anchor", "around")
@@ -288,11 +345,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     part = places.join(found, ["anchor", "around"]).select("key", (F.col("pos") - F.col("most")).alias("s"), (F.col("pos") + length - F.col("least")).alias("e"))
     spans = checkpointed(whole.unionByName(part).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
     bitmap = spark.sparkContext.broadcast(bit_table(spans.select("key")))
-    copies = texts.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.lit(True).alias("copied"))
-    rows = texts.select("doc_id", "key", "n_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
-    rows = rows.mapInArrow(_with_text_where(bitmap), "doc_id long, key long, n_bytes long, sha string, text string")
+    copies = texts.where(F.col("n_bytes") >= length).groupBy("key", "more").agg(F.count("*").alias("c")).where("c > 1")
+    copies = copies.groupBy("key").agg(F.collect_set("more").alias("copied"))  # texts that share 64 bits: one, all but always
+    rows = texts.select("doc_id", "key", "more", "n_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
+    rows = rows.mapInArrow(_with_text_where(bitmap), "doc_id long, key long, more long, n_bytes long, sha string, text string")
     rows = rows.join(spans.join(copies, "key", "full"), "key", "left")
-    rows = rows.select("doc_id", "n_bytes", "sha", F.coalesce("copied", F.lit(False)).alias("copied"), "spans", "text")
+    rows = rows.select("doc_id", "n_bytes", "sha", F.coalesce(F.array_contains("copied", F.col("more")), F.lit(False)).alias("copied"), "spans", "text")
     return rows.mapInArrow(_kept(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
