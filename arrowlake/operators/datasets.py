@@ -99,7 +99,7 @@ def leave_one_out(samples: DataFrame, source: str = "dataset") -> DataFrame:
     """For each data set, all samples of the others, tagged ``target`` and ``_src``."""
     targets = samples.select(F.col(source).alias("target")).distinct()
     others = targets.join(samples.select(F.col(source).alias("_src")).distinct(), F.col("target") != F.col("_src"))
-    return samples.withColumnRenamed(source, "_src").join(F.broadcast(others), "_src")
+    return samples.withColumnRenamed(source, "_src").join(others, "_src")
 
 
 def to_messages(samples: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import boxes
 from .assignment import assign_one_to_one
+from .datasets import dense_ids
 
 
 def cornered(frames: DataFrame) -> DataFrame:
@@ -44,10 +45,7 @@ def track_area(frames: DataFrame) -> DataFrame:
 def remap_video_category(gt: DataFrame, dt: DataFrame) -> DataFrame:
     """(video_id, category_id, new_id) for each pair seen in either table, in sorted order from 1."""
     seen = gt.select("video_id", "category_id").union(dt.select("video_id", "category_id")).distinct()
-    sizes = seen.groupBy("video_id").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("video_id").orderBy("category_id"))
-    return seen.withColumn("own", own).join(before, "video_id").select("video_id", "category_id", (F.col("own") + F.col("before")).alias("new_id"))
+    return dense_ids(seen, ["video_id", "category_id"], "new_id").select("video_id", "category_id", "new_id")
 
 
 def unique_track_ids(frames: DataFrame) -> DataFrame:
@@ -55,8 +53,8 @@ def unique_track_ids(frames: DataFrame) -> DataFrame:
     tracks = frames.select("video_id", "track_id").distinct()
     shared = tracks.groupBy("track_id").agg(F.count("*").alias("c")).where("c > 1")
     most = tracks.agg(F.max("track_id").alias("top"))
-    again = tracks.join(shared, "track_id").join(most)
-    numbered = again.withColumn("unique_id", F.col("top") + F.dense_rank().over(Window.orderBy("track_id", "video_id"))).select("video_id", "track_id", "unique_id")
+    again = dense_ids(tracks.join(shared, "track_id").select("track_id", "video_id"), ["track_id", "video_id"], "n")
+    numbered = again.join(most).select("video_id", "track_id", (F.col("top") + F.col("n")).alias("unique_id"))  # one row of ``most``
     return frames.join(numbered, ["video_id", "track_id"], "left").withColumn("unique_id", F.coalesce("unique_id", "track_id"))
 
 

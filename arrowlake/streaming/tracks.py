@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans.materialize import shared_folder
+
 MATCH = "video_id long, track_id long, frame long, matched boolean"
 CONFIRMED = "video_id long, track_id long, confirmed_at long"
 
@@ -42,20 +43,21 @@ def confirm_stream(matches: DataFrame, n: int = 3) -> DataFrame:
 def run_available(stream: DataFrame, schema: str) -> DataFrame:
     """What ``stream`` gives for all input there is now, through a Parquet sink in the shared folder."""
     spark: SparkSession = stream.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
 def confirm_available(matches: DataFrame, files: int = 4, n: int = 3) -> DataFrame:
-    """``matches`` written as files of rising frames, then confirmed as a stream of one file a batch."""
+    """``matches`` written in parts of rising frames, each dealt by track to many files, then confirmed as a stream that takes
+    about a part a batch."""
     spark = matches.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/frames-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
     ordered = matches.select("video_id", "track_id", "frame", "matched")
     cuts = ordered.approxQuantile("frame", [i / files for i in range(1, files)], 0.01)
-    last = None
+    last, tasks = None, int(spark.conf.get("spark.sql.shuffle.partitions"))
     for cut in [*sorted(set(cuts)), None]:
         part = ordered if last is None else ordered.where(ordered.frame > last)
-        (part if cut is None else part.where(ordered.frame <= cut)).coalesce(1).write.mode("append").parquet(folder)
+        (part if cut is None else part.where(ordered.frame <= cut)).repartition(tasks, "video_id", "track_id").write.mode("append").parquet(folder)
         last = cut
-    return run_available(confirm_stream(spark.readStream.schema(MATCH).option("maxFilesPerTrigger", 1).parquet(folder), n), CONFIRMED)
+    return run_available(confirm_stream(spark.readStream.schema(MATCH).option("maxFilesPerTrigger", tasks).parquet(folder), n), CONFIRMED)
