@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_extract, language_id, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, topk_search
+from . import byte_bpe, conversations, fingerprints, html_extract, language_id, merkle, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, topk_search
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op2_ngram_join": ngram_join.OP2_SQL,
     "op4_fingerprint": fingerprints.OP4_SQL,
     "op6_secret_scan": secret_scan.OP6_SQL,
+    "op11_conversation_repair": conversations.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
