@@ -27,32 +27,32 @@ def apart(frames: DataFrame, first: int = 0) -> DataFrame:
 APART = f"""
 WITH gt AS (SELECT video_id, track_id AS g, track_id AS lane, category_id, frame, x AS x1, y AS y1, x + w AS x2, y + h AS y2 FROM {{fx_track_frames}}),
 dt AS (SELECT video_id, track_id AS t, track_id - 1000 AS lane, category_id AS guess, frame, x AS x1, y AS y1, x + w AS x2, y + h AS y2 FROM ({DT}) q),
-levels AS (SELECT unnest(range(20)) AS at),
+levels AS (SELECT unnest(range(20)) AS lv),
 inters AS (SELECT video_id, frame, g, category_id, t, guess, greatest(0, least(gt.x2, dt.x2) - greatest(gt.x1, dt.x1)) * greatest(0, least(gt.y2, dt.y2) - greatest(gt.y1, dt.y1)) AS i,
-  (gt.x2 - gt.x1) * (gt.y2 - gt.y1) + (dt.x2 - dt.x1) * (dt.y2 - dt.y1) AS both FROM gt JOIN dt USING (video_id, frame, lane)),
-met AS (SELECT *, i / (both - i) AS sim FROM inters WHERE i > 0),
+  (gt.x2 - gt.x1) * (gt.y2 - gt.y1) + (dt.x2 - dt.x1) * (dt.y2 - dt.y1) AS areas FROM gt JOIN dt USING (video_id, frame, lane)),
+met AS (SELECT *, i / (areas - i) AS sim FROM inters WHERE i > 0),
 near AS (SELECT video_id, frame, category_id, t FROM met WHERE sim >= 0.5), kept AS (SELECT DISTINCT video_id, category_id, t FROM near),
-own AS (SELECT video_id, category_id, frame, g, t, guess, (SELECT max(at) FROM levels WHERE sim >= at / 20.0 - 2.220446049250313e-16) AS level FROM met SEMI JOIN kept USING (video_id, category_id, t)),
+own AS (SELECT video_id, category_id, frame, g, t, guess, (SELECT max(lv) FROM levels WHERE sim >= lv / 20.0 - 2.220446049250313e-16) AS level FROM met SEMI JOIN kept USING (video_id, category_id, t)),
 rest_g AS (SELECT video_id, category_id, frame, g, row_number() OVER (PARTITION BY video_id, category_id, frame ORDER BY g) AS r FROM gt ANTI JOIN own USING (video_id, category_id, frame, g)),
 rest_t AS (SELECT video_id, category_id, frame, t, guess, row_number() OVER (PARTITION BY video_id, category_id, frame ORDER BY t) AS r FROM (SELECT kept.category_id, dt.* FROM dt JOIN kept USING (video_id, t)) ANTI JOIN own USING (video_id, category_id, frame, t)),
 matched AS (SELECT * FROM own UNION ALL SELECT video_id, category_id, frame, g, t, guess, 0 FROM rest_g JOIN rest_t USING (video_id, category_id, frame, r)),
-hits AS (SELECT matched.*, at FROM matched JOIN levels ON level >= at),
-n AS (SELECT video_id, category_id, g, t, at, count(*) AS n FROM hits GROUP BY ALL),
+hits AS (SELECT matched.*, lv FROM matched JOIN levels ON level >= lv),
+n AS (SELECT video_id, category_id, g, t, lv, count(*) AS n FROM hits GROUP BY ALL),
 g_n AS (SELECT video_id, g, count(*) AS g_n FROM gt GROUP BY ALL), t_n AS (SELECT video_id, t, count(*) AS t_n FROM dt GROUP BY ALL),
-assoc AS (SELECT video_id, category_id, at, sum(n) AS loc_tp, sum(n * n / (g_n + t_n - n)) AS a, sum(n * n / g_n) AS re, sum(n * n / t_n) AS pr FROM n JOIN g_n USING (video_id, g) JOIN t_n USING (video_id, t) GROUP BY ALL),
-fp AS (SELECT video_id, category_id, at, count(*) FILTER (coalesce(m.level, -1) < at) AS loc_fp FROM near LEFT JOIN matched m USING (video_id, category_id, frame, t), levels GROUP BY ALL),
-cls AS (SELECT video_id, category_id, at, count(*) FILTER (guess = category_id) AS cls_tp FROM hits GROUP BY ALL),
-wrong AS (SELECT video_id, guess AS category_id, at, count(*) AS cls_fp FROM hits WHERE guess <> category_id
+assoc AS (SELECT video_id, category_id, lv, sum(n) AS loc_tp, sum(n * n / (g_n + t_n - n)) AS a, sum(n * n / g_n) AS re, sum(n * n / t_n) AS pr FROM n JOIN g_n USING (video_id, g) JOIN t_n USING (video_id, t) GROUP BY ALL),
+fp AS (SELECT video_id, category_id, lv, count(*) FILTER (coalesce(m.level, -1) < lv) AS loc_fp FROM near LEFT JOIN matched m USING (video_id, category_id, frame, t), levels GROUP BY ALL),
+cls AS (SELECT video_id, category_id, lv, count(*) FILTER (guess = category_id) AS cls_tp FROM hits GROUP BY ALL),
+wrong AS (SELECT video_id, guess AS category_id, lv, count(*) AS cls_fp FROM hits WHERE guess <> category_id
   AND (category_id > guess OR EXISTS (SELECT 1 FROM kept k WHERE k.video_id = hits.video_id AND k.category_id = hits.guess)) GROUP BY ALL),
 extra AS (SELECT video_id, guess AS category_id, count(*) AS extra FROM dt WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.video_id = dt.video_id AND near.frame = dt.frame AND near.category_id = dt.guess AND near.t = dt.t) GROUP BY ALL),
 gold AS (SELECT video_id, category_id, count(*) AS gold FROM gt GROUP BY ALL),
 pairs AS (SELECT video_id, category_id FROM gt UNION SELECT video_id, guess FROM dt),
 counts AS (
-  SELECT video_id, category_id, at / 20.0::DOUBLE AS alpha, coalesce(loc_tp, 0)::BIGINT AS loc_tp, (coalesce(gold, 0) - coalesce(loc_tp, 0))::BIGINT AS loc_fn, coalesce(loc_fp, 0) AS loc_fp,
+  SELECT video_id, category_id, lv / 20.0::DOUBLE AS alpha, coalesce(loc_tp, 0)::BIGINT AS loc_tp, (coalesce(gold, 0) - coalesce(loc_tp, 0))::BIGINT AS loc_fn, coalesce(loc_fp, 0) AS loc_fp,
     coalesce(a, 0) / greatest(1, coalesce(loc_tp, 0)) AS assoc_a, coalesce(re, 0) / greatest(1, coalesce(loc_tp, 0)) AS assoc_re, coalesce(pr, 0) / greatest(1, coalesce(loc_tp, 0)) AS assoc_pr,
-    CASE WHEN at >= 10 THEN coalesce(cls_tp, 0) END AS cls_tp, CASE WHEN at >= 10 THEN (coalesce(loc_tp, 0) - coalesce(cls_tp, 0))::BIGINT END AS cls_fn, CASE WHEN at >= 10 THEN coalesce(cls_fp, 0) + coalesce(extra, 0) END AS cls_fp
-  FROM pairs CROSS JOIN levels LEFT JOIN gold USING (video_id, category_id) LEFT JOIN assoc USING (video_id, category_id, at) LEFT JOIN fp USING (video_id, category_id, at)
-    LEFT JOIN cls USING (video_id, category_id, at) LEFT JOIN wrong USING (video_id, category_id, at) LEFT JOIN extra USING (video_id, category_id))"""
+    CASE WHEN lv >= 10 THEN coalesce(cls_tp, 0) END AS cls_tp, CASE WHEN lv >= 10 THEN (coalesce(loc_tp, 0) - coalesce(cls_tp, 0))::BIGINT END AS cls_fn, CASE WHEN lv >= 10 THEN coalesce(cls_fp, 0) + coalesce(extra, 0) END AS cls_fp
+  FROM pairs CROSS JOIN levels LEFT JOIN gold USING (video_id, category_id) LEFT JOIN assoc USING (video_id, category_id, lv) LEFT JOIN fp USING (video_id, category_id, lv)
+    LEFT JOIN cls USING (video_id, category_id, lv) LEFT JOIN wrong USING (video_id, category_id, lv) LEFT JOIN extra USING (video_id, category_id))"""
 
 
 @query("i18_teta", "fx_track_frames", "fx_pred_frames")
@@ -81,10 +81,10 @@ _ALL = ", ".join([*te.COUNTS, *FLOATS])
     sql=f"""{APART.replace("WITH gt AS", "WITH RECURSIVE gt AS", 1).strip()},
 tree(c, p) AS (VALUES {", ".join(map(str, TREE))}), up(c, a) AS (SELECT c, p FROM tree UNION SELECT up.c, p FROM up JOIN tree ON tree.c = up.a),
 per AS (SELECT category_id, alpha, {_SUMS} FROM counts GROUP BY ALL), classes AS (SELECT q.*, (loc_a + assoc_a + cls_a) / 3 AS teta FROM (SELECT {_SCORED.format("category_id")} FROM per) q),
-some AS (SELECT category_id FROM classes GROUP BY ALL HAVING max(loc_tp + loc_fn + loc_fp) > 0),
+filled AS (SELECT category_id FROM classes GROUP BY ALL HAVING max(loc_tp + loc_fn + loc_fp) > 0),
 tops AS (SELECT a AS category_id, alpha, {_SUMS} FROM per JOIN up ON up.c = per.category_id GROUP BY ALL)
 SELECT 'class' AS kind, category_id::BIGINT AS category_id, alpha, {_ALL} FROM classes
-UNION ALL SELECT 'average', NULL, alpha, {", ".join(f"sum({c})::BIGINT" for c in te.COUNTS)}, {", ".join(f"avg({c})" for c in FLOATS)} FROM classes SEMI JOIN some USING (category_id) GROUP BY alpha
+UNION ALL SELECT 'average', NULL, alpha, {", ".join(f"sum({c})::BIGINT" for c in te.COUNTS)}, {", ".join(f"avg({c})" for c in FLOATS)} FROM classes SEMI JOIN filled USING (category_id) GROUP BY alpha
 UNION ALL SELECT 'above', category_id::BIGINT, alpha, {_ALL} FROM (SELECT q.*, (loc_a + assoc_a + cls_a) / 3 AS teta FROM (SELECT {_SCORED.format("category_id")} FROM tops) q) z""",
 )
 def combined_classes(g: DataFrame, p: DataFrame) -> DataFrame:
@@ -111,8 +111,8 @@ def mask_columns(boxes: DataFrame, item: str, name: str) -> DataFrame:
     return rows.select("image_id", F.col(item).alias(name), *extra, *[c.alias(k) for k, c in runs.items()])
 
 
-PIXELS = f"""SELECT DISTINCT image_id, {{1}} AS id, x, unnest(range((y1 // 4)::BIGINT, least(CASE WHEN x = (x2 // 4)::BIGINT THEN (y2 // 4)::BIGINT ELSE (y2 // 4)::BIGINT + 1 END, {HEIGHT}))) AS y
- FROM (SELECT *, unnest(range((x1 // 4)::BIGINT, (x2 // 4)::BIGINT + 1)) AS x FROM {{0}}) q WHERE x < {WIDTH}"""
+PIXELS = f"""SELECT DISTINCT image_id, {{1}} AS id, x, unnest(range(floor(y1 / 4)::BIGINT, least(CASE WHEN x = floor(x2 / 4)::BIGINT THEN floor(y2 / 4)::BIGINT ELSE floor(y2 / 4)::BIGINT + 1 END, {HEIGHT}))) AS y
+ FROM (SELECT *, unnest(range(floor(x1 / 4)::BIGINT, floor(x2 / 4)::BIGINT + 1)) AS x FROM {{0}}) q WHERE x < {WIDTH}"""
 EDGE = f"""SELECT image_id, id, x, y FROM (
  SELECT image_id, id, cx AS x, cy AS y, count(*) AS n FROM (
   SELECT image_id, id, unnest(CASE WHEN x = {WIDTH - 1} THEN [x, x, x - 1] ELSE [x, x - 1] END) AS cx, y FROM {{0}}) p,
