@@ -16,8 +16,8 @@ PLAIN_RELATIONS = {
 
 
 def strip(col: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    """Without white space of any kind (Unicode's, and the separators 0x1C to 0x1F) at either end."""
+    return F.regexp_replace(col, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def _lower_strip(col: Column) -> Column:

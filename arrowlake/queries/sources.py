@@ -81,6 +81,36 @@ def strict(s: DataFrame) -> DataFrame:
     return diagrams.mermaid_triplets(s)
 
 
+def _dense(e: DataFrame) -> DataFrame:
+    """Declarations, then two edges a line in four spellings, some with escaped quotes; ids are told apart by a letter."""
+    s, p = F.concat(F.lit("S"), F.col("suppkey").cast("string")), F.concat(F.lit("P"), F.col("partkey").cast("string"))
+    node = F.concat(s, F.lit('[\\"'), "src", F.lit('\\"]; '), p, F.lit("(( "), "dst", F.lit("\u00a0))\n"))
+    kind = F.col("arrow_id") % 4
+    link = F.when(kind == 0, F.concat(F.lit('-->|"'), "rel", F.lit('"| '))).when(kind == 1, F.concat(F.lit("-- "), "rel", F.lit(" --> "))).when(kind == 2, F.lit("==> ")).otherwise(F.concat(F.lit("-.->|\\'"), "rel", F.lit("\\'|")))
+    edge = F.concat(s, F.lit(" "), link, p, F.when(F.col("arrow_id") % 2 == 0, "\n").otherwise("; "))
+    return e.groupBy("graph_id").agg(F.concat(F.lit("graph TD\n"), ordered_join("arrow_id", node, ""), ordered_join("arrow_id", edge, "")).alias("text"))
+
+
+@query(
+    "c1_mermaid_edges_dense",
+    "fx_edges",
+    sql="""WITH d AS (SELECT graph_id, src, CASE WHEN arrow_id % 4 IN (0, 3) THEN rel END AS cond, dst, min(arrow_id) AS p FROM {fx_edges} GROUP BY ALL)
+SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY p) AS arrow_id, src, cond, dst FROM d""",
+)
+def dense_edges(e: DataFrame) -> DataFrame:
+    return diagrams.mermaid_edges(_dense(e))
+
+
+@query(
+    "c2_mermaid_triplets_dense",
+    "fx_edges",
+    sql=r"""SELECT DISTINCT graph_id, regexp_replace(lower(replace(src, '_', ' ')), '[^a-z0-9-]', '', 'g') AS src, CASE rel WHEN 'connectedTo' THEN 'connectedto' ELSE lower(rel) END AS rel,
+  regexp_replace(lower(dst), '[^a-z0-9-]', '', 'g') AS dst FROM {fx_edges} WHERE arrow_id % 4 = 0""",
+)
+def dense_triplets(e: DataFrame) -> DataFrame:
+    return diagrams.mermaid_triplets(_dense(e))
+
+
 def _dot(e: DataFrame) -> DataFrame:
     node = F.concat(F.lit('  P'), F.col("partkey").cast("string"), F.lit(' [shape=box, label="'), "dst", F.lit('"];\n'))
     edge = F.concat(F.lit("  S"), F.col("suppkey").cast("string"), F.lit(" -> P"), F.col("partkey").cast("string"), F.lit(" [label="), "rel", F.lit("];"))

@@ -42,3 +42,24 @@ def test_stream_agrees_with_batch(spark):
     rows = [(v, t, n, (n * (t + 2) + v) % 4 != 0) for v in range(2) for t in range(4) for n in range(20)]
     m = spark.createDataFrame(rows, "video_id long, track_id long, frame long, matched boolean")
     assert sorted(confirm_available(m).collect()) == sorted(confirmed_tracks(m).select("video_id", "track_id", "confirmed_at").collect())
+
+
+def test_mermaid_reads_every_edge_of_a_line(spark):
+    lines = [r"A[One]; B((Two)); C{\"Three\"}", "A --> B; B -->|x| C", r"A -- yes --> C; C -.->|\'no\'| A; B ==> D", "A --> B", ""]
+    text = "\n".join(lines)
+    sources = spark.createDataFrame([("g", text), ("none", None), ("empty", "")], "graph_id string, text string")
+    out = [tuple(r) for r in diagrams.mermaid_edges(sources).orderBy("arrow_id").collect()]
+    assert out == [("g", 1, "One", None, "Two"), ("g", 2, "Two", "x", "Three"), ("g", 3, "One", None, "Three"), ("g", 4, "Three", "no", "One"), ("g", 5, "Two", None, "D")]
+    strict = {tuple(r) for r in diagrams.mermaid_triplets(sources).collect()}
+    assert strict == {("g", "one", "connect", "two"), ("g", "two", "x", "three")}
+
+
+def test_strip_knows_unicode_blanks(spark):
+    from pyspark.sql import functions as F
+
+    from arrowlake.functions.text import normalize_label, strip
+
+    blanks = "\u00a0\u3000\u2003\u0085\x1c \t\n"
+    df = spark.createDataFrame([(f"{blanks}A b{blanks}",), (blanks,), ("",), (None,), ("a\n",)], "s string")
+    assert [r[0] for r in df.select(strip(F.col("s"))).collect()] == ["A b", "", "", None, "a"]
+    assert [r[0] for r in df.select(normalize_label(F.col("s"))).collect()] == ["a b", "", "", "", "a"]
