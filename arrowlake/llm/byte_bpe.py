@@ -18,7 +18,7 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -229,18 +229,51 @@ def codec(vocabulary: str) -> Codec:
     return Codec(read_ranks(vocabulary))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", most: int = PIECE_IDS) -> DataFrame:
-    """Pieces of the documents' ids: ``doc_id, piece (from 0), last (of its document), ids array<int>``.
+class Strings:
+    """Byte strings by number, joined for an array of numbers at once."""
 
-    A document's pieces are adjacent rows of one partition in rising order, of at most ``most`` ids each; nothing is
-    shuffled. Cases: a null or empty text is one piece without ids; a null id stays null; repeated rows are encoded
-    each; a very long text is read in stretches and gives many pieces; a single long pre-token takes about 14 bytes of
-    memory a byte; extra columns are ignored; an empty table gives none. Merges of equal rank are taken from the left.
-    """
+    def __init__(self, strings: list[bytes]) -> None:
+        self._size = np.fromiter(map(len, strings), np.int64, len(strings))
+        self._start = np.cumsum(self._size) - self._size
+        self._data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        size = self._size[numbers]
+        stop = np.cumsum(size)
+        at = np.arange(stop[-1] if len(stop) else 0)
+        return self._data[at + np.repeat(self._start[numbers] - stop + size, size)].tobytes()
+
+
+@functools.lru_cache(2)
+def entries(vocabulary: str) -> Strings:
+    """The bytes of each id."""
+    return Strings(codec(vocabulary).vocabulary)
+
+
+@functools.lru_cache(2)
+def decimals(n: int) -> Strings:
+    """The numbers below n in print, each behind a comma."""
+    return Strings([b",%d" % i for i in range(n)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+Batches = Iterator[pa.RecordBatch]
+Step = Callable[[Batches], Batches]
+PIECES = "doc_id long, piece int, last boolean, ids array<int>"
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32)
+    values = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+    kinds = [pa.int64(), pa.int32(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)] + [ids], names=["doc_id", "piece", "last", "ids"])
+
+
+def encoding(vocabulary: str, most: int) -> Step:
+    """From (doc_id, text) to pieces."""
+
+    def run(batches: Batches) -> Batches:
         own = codec(vocabulary)
-        names = ["doc_id", "piece", "last", "ids"]
         for batch in batches:
             rows, held = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -250,50 +283,44 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str
                     while len(rest) > 4 * most:
                         rows.append((doc, number, False, np.frombuffer(rest[: 4 * most], np.int32)))
                         number, held, rest = number + 1, held + most, rest[4 * most :]
+                        if held > 16 * most:
+                            yield _piece_batch(rows)
+                            rows, held = [], 0
                 rows.append((doc, number, True, np.frombuffer(rest, np.int32)))
                 held += len(rest) // 4
                 if held > 16 * most:
-                    yield _piece_batch(rows, names)
+                    yield _piece_batch(rows)
                     rows, held = [], 0
-            yield _piece_batch(rows, names)
+            yield _piece_batch(rows)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, last boolean, ids array<int>")
-
-
-def _piece_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32)
-    values = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-    kinds = [pa.int64(), pa.int32(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)] + [ids], names=names)
+    return run
 
 
-def decode_pieces(pieces: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``pieces`` with ``decoded`` (binary): the bytes of each piece's ids, which joined in order are the document's.
-    A piece may end within a character. Null ids give no bytes; an id outside the vocabulary is an error."""
+def decoding(vocabulary: str) -> Step:
+    """Adds the bytes of each piece's ids."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = codec(vocabulary).vocabulary
+    def run(batches: Batches) -> Batches:
+        table, none = entries(vocabulary), np.zeros(0, np.int32)
         for batch in batches:
-            ids = batch.column("ids")
-            raw = [b"".join(map(table.__getitem__, x.as_py() or [])) for x in ids]
+            raw = [table.joined(x.values.to_numpy() if x.is_valid else none) for x in batch.column("ids")]
             yield batch.append_column("decoded", pa.array(raw, pa.binary()))
 
-    return pieces.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", decoded binary")
+    return run
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """One row a document from its adjacent pieces: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+def digesting(vocabulary: str) -> Step:
+    """From the adjacent pieces of each document, with their bytes, to one row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
+        table = decimals(len(codec(vocabulary).vocabulary))
         n, ids, raw = 0, hashlib.sha256(), hashlib.sha256()
         for batch in batches:
             rows = []
             columns = [batch.column(c) for c in ("doc_id", "last", "ids", "decoded")]
             for doc, last, some, text in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], columns[3], strict=True):
                 if len(some):
-                    ids.update((b"," if n else b"") + ",".join(map(str, some.values.to_pylist())).encode())
+                    printed = table.joined(some.values.to_numpy())
+                    ids.update(printed if n else printed[1:])
                     n += len(some)
                 raw.update(text.as_py())
                 if last:
@@ -302,9 +329,42 @@ def digests(decoded: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return run
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", most: int = PIECE_IDS) -> DataFrame:
+    """Pieces of the documents' ids: ``doc_id, piece (from 0), last (of its document), ids array<int>``.
+
+    A document's pieces are adjacent rows of one partition in rising order, of at most ``most`` ids each; nothing is
+    shuffled. Cases: a null or empty text is one piece without ids; a null id stays null; repeated rows are encoded
+    each; a very long text is read in stretches and gives many pieces; a single long pre-token takes about 14 bytes of
+    memory a byte; extra columns are ignored; an empty table gives none. Merges of equal rank are taken from the left.
+    """
+    return _texts(docs, id_col, text_col).mapInArrow(encoding(vocabulary, most), PIECES)
+
+
+def decode_pieces(pieces: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``pieces`` with ``decoded`` (binary): the bytes of each piece's ids, which joined in order are the document's.
+    A piece may end within a character. Null ids give no bytes; an id outside the vocabulary is an error."""
+    return pieces.mapInArrow(decoding(vocabulary), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", decoded binary")
+
+
+def round_trips(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", most: int = PIECE_IDS) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document: the pieces of ``encode_documents`` and
+    ``decode_pieces``, digested in one pass of the same workers."""
+
+    def run(batches: Batches) -> Batches:
+        for step in (encoding(vocabulary, most), decoding(vocabulary), digesting(vocabulary)):
+            batches = step(batches)
+        return batches
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, with digests of both."""
-    return digests(decode_pieces(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))))
+    return round_trips(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -69,17 +69,15 @@ def test_documents(spark, library):
     texts = [None, "", "  ", "one", "one", "Ein Wort. " * 300_000, *("".join(rng.choice(PARTS) for _ in range(50)) for _ in range(60))]
     docs = spark.createDataFrame([(i // 2 if i % 7 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, ids int").repartition(3)
     want = sorted((repr(r.doc_id), len(x := library.encode_ordinary(r.text or "")), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
-    for most in (5, B.PIECE_IDS):
-        if most == 5:
-            small = docs.where(F.length("text") < 10_000)
-            pieces = B.encode_documents(small, most=most)
-            assert pieces.where(F.size("ids") > most).count() == 0
-            out = B.digests(B.decode_pieces(pieces)).count()
-            assert out == small.count()
-        else:
-            out = B.digests(B.decode_pieces(B.encode_documents(docs))).collect()
-            assert sorted((repr(r[0]), *r[1:]) for r in out) == want
-    assert B.digests(B.decode_pieces(B.encode_documents(docs.limit(0)))).count() == 0
+    small = docs.where(F.length("text") < 10_000)
+    pieces = B.encode_documents(small, most=5)
+    assert pieces.where(F.size("ids") > 5).count() == 0
+    assert B.decode_pieces(pieces).where("last").count() == small.count()
+    joined = B.decode_pieces(pieces).groupBy("doc_id").agg(F.sum(F.octet_length("decoded")).alias("n"))
+    assert {(r[0], r[1]) for r in joined.collect()} == {(r[0], r[1]) for r in small.groupBy("doc_id").agg(F.sum(F.octet_length("text"))).collect()}
+    assert sorted((repr(r[0]), *r[1:]) for r in B.round_trips(docs).collect()) == want
+    assert sorted((repr(r[0]), *r[1:]) for r in B.round_trips(docs, most=1000).collect()) == want
+    assert B.round_trips(docs.limit(0)).count() == 0
 
 
 def test_query_on_the_test_tables(spark, library):
