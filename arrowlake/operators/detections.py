@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .assignment import assign_one_to_one
-from .greedy import first_fit
 from .spatial import pair_overlap
 
 THRESHOLDS = [i / 100 for i in range(50, 100, 5)]
@@ -83,33 +82,3 @@ def best_of_ground_truths(scores: DataFrame) -> DataFrame:
     means = scores.groupBy("image_id", "gt_no").agg(F.avg("f1").alias("mean_f1"))
     w = Window.partitionBy("image_id").orderBy(F.col("mean_f1").isNull().desc(), F.desc("mean_f1"), "gt_no")
     return means.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-
-
-def detection_ap(gt: DataFrame, dets: DataFrame, max_dets: int = 100) -> DataFrame:
-    """(category_id, threshold, ap, recall): average precision by 101-point interpolation, -1 without gold.
-
-    In each image and category, detections take by falling score the free gold box of highest IoU at the
-    threshold; precision over the score order is made monotone from the right and read at 101 recalls.
-    """
-    key = ["image_id", "category_id"]
-    w = Window.partitionBy(*key).orderBy(F.desc("score"), "det_id")
-    kept = dets.withColumn("no", F.row_number().over(w)).where(F.col("no") <= max_dets)
-    levels = F.array(*[F.lit(t) for t in THRESHOLDS])
-    pairs = pair_overlap(kept, gt, key, ["iou"]).select(*key, F.col("a.det_id").alias("det_id"), F.col("a.no").alias("no"), F.col("b.box_id").alias("box_id"), "iou", F.explode(levels).alias("threshold")).where("iou >= threshold")
-    pairs = pairs.withColumn("better", -F.col("iou"))
-    hits = first_fit(pairs, [*key, "threshold"], "det_id", "box_id", ["no", "better", "box_id"]).select(*key, "threshold", "det_id").withColumn("hit", F.lit(1))
-    rows = kept.select(*key, "det_id", "score", F.explode(levels).alias("threshold")).join(hits, [*key, "threshold", "det_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    totals = gt.groupBy("category_id").agg(F.count("*").alias("n_gt"))
-    run = Window.partitionBy("category_id", "threshold").orderBy(F.desc("score"), "image_id", "det_id").rowsBetween(Window.unboundedPreceding, 0)
-    curve = rows.withColumns({"tp": F.sum("hit").over(run), "n": F.count("*").over(run)}).join(totals, "category_id")
-    curve = curve.select("category_id", "threshold", (F.col("tp") / F.col("n_gt")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"))
-    points = curve.groupBy("category_id", "threshold", "recall").agg(F.max("precision").alias("precision"))
-    onward = Window.partitionBy("category_id", "threshold").orderBy("recall").rowsBetween(0, Window.unboundedFollowing)
-    back = Window.partitionBy("category_id", "threshold").orderBy("recall")
-    points = points.withColumns({"best": F.max("precision").over(onward), "before": F.lag("recall", 1, -1.0).over(back)})
-    # the number of the recalls 0, 0.01 .. 1 in (before, recall]
-    n = F.floor(F.col("recall") * 100 + 1e-9) - F.when(F.col("before") < 0, -1).otherwise(F.floor(F.col("before") * 100 + 1e-9))
-    ap = points.groupBy("category_id", "threshold").agg((F.sum(n * F.col("best")) / 101).alias("ap"), F.max("recall").alias("recall"))
-    categories = gt.select("category_id").union(dets.select("category_id")).distinct().select("category_id", F.explode(levels).alias("threshold"))
-    out = categories.join(ap, ["category_id", "threshold"], "left").join(totals, "category_id", "left")
-    return out.select("category_id", "threshold", *[F.when(F.col("n_gt").isNull(), -1.0).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("ap", "recall")])

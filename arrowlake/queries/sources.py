@@ -1,11 +1,14 @@
 """Round trips through the file shapes."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.datasets import ordered_join
+from ..plans.materialize import shared_folder
 from ..registry import query
-from ..sources import diagrams, triplets
+from ..sources import diagrams, json_ranges, triplets
 
 DISTINCT = "SELECT DISTINCT graph_id, src, rel, dst FROM {fx_edges}"
 
@@ -245,3 +248,40 @@ def svg(b: DataFrame) -> DataFrame:
     path = F.concat(F.lit('<path d="M1,1L'), _says("@x1", ",", "@y1", " L", "@x2", " ", "@y2", '" class="'), kind, _says(" LS-entity", "@box_id", " LE-entity", "@category_id", '"/>'))
     texts = b.groupBy("image_id").agg(F.concat(F.lit('<svg viewBox="-5 -2.5 100 100">'), ordered_join("box_id", path, "\n"), F.lit("</svg>")).alias("text"))
     return svg_arrow_tips(texts.select(F.col("image_id").alias("doc_id"), "text"))
+
+
+def _kept_as_json(rows: DataFrame, record, key: str, field: str | None) -> str:
+    """A folder of JSON documents, one for every eighth of the keys, each with all its records in one array."""
+    folder = f"{shared_folder(rows.sparkSession)}/json-{uuid.uuid4().hex}"
+    name = F.concat((F.col(key) % 8).cast("string"), F.lit(".json")).alias("name")
+    head, tail = ("[", "null]") if field is None else (f'{{"info": {{"{field}": [{{}}]}}, "{field}": [', 'null], "end": [{}]}')
+    lines = rows.select(name, F.lit(1).alias("no"), F.concat(F.to_json(record), F.lit(",")).alias("line"))
+    files = lines.select("name").distinct()
+    ends = files.select("name", F.explode(F.array(F.struct(F.lit(0).alias("no"), F.lit(head).alias("line")), F.struct(F.lit(2).alias("no"), F.lit(tail).alias("line")))).alias("e")).select("name", "e.*")
+    json_ranges.write_label_files(lines.unionByName(ends), folder, order=["no", "line"])
+    return folder
+
+
+@query("a9_coco_ranges", "fx_boxes", sql="SELECT image_id, box_id, category_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h FROM {fx_boxes}")
+def coco_ranges(b: DataFrame) -> DataFrame:
+    record = F.struct(F.col("box_id").alias("id"), "image_id", "category_id", F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), F.lit('"} [\\').alias("note"))
+    folder = _kept_as_json(b, record, "image_id", "annotations")
+    rows = json_ranges.read_json_array(b.sparkSession, folder, "annotations", json_ranges.COCO["annotations"], 1 << 16)
+    return rows.select("image_id", F.col("id").alias("box_id"), "category_id", *[F.col("bbox")[i].alias(c) for i, c in enumerate("xywh")])
+
+
+@query("a10_tracks_ranges", "fx_pred_frames", sql="SELECT video_id, track_id, count(*) AS frames, sum(x) AS x, max(score) AS score FROM {fx_pred_frames} GROUP BY ALL")
+def tracks_ranges(p: DataFrame) -> DataFrame:
+    tracks = p.groupBy("video_id", "track_id").agg(F.sort_array(F.collect_list(F.struct("frame", F.array(*"xywh").alias("box")))).alias("f"), F.max("score").alias("score"))
+    record = F.struct(F.col("track_id").alias("id"), "video_id", "score", F.col("f.box").alias("bboxes"))
+    rows = json_ranges.read_tracks_ranges(p.sparkSession, _kept_as_json(tracks, record, "track_id", None), True, 1 << 14)
+    return rows.select("video_id", F.col("id").alias("track_id"), F.size("bboxes").cast("long").alias("frames"), F.aggregate("bboxes", F.lit(0.0), lambda a, x: a + x[0]).alias("x"), "score")
+
+
+@query("a12_label_files", "fx_boxes", sql="SELECT concat(image_id // 50, '.txt') AS name, string_agg(concat(image_id, ' ', box_id, ' ', category_id), chr(10) ORDER BY image_id, box_id) || chr(10) AS text FROM {fx_boxes} GROUP BY ALL")
+def label_files(b: DataFrame) -> DataFrame:
+    spark, folder = b.sparkSession, f"{shared_folder(b.sparkSession)}/labels-{uuid.uuid4().hex}"
+    name = F.concat(F.expr("image_id div 50").cast("string"), F.lit(".txt"))
+    json_ranges.write_label_files(b.select(name.alias("name"), F.concat_ws(" ", "image_id", "box_id", "category_id").alias("line"), "image_id", "box_id"), folder, order=["image_id", "box_id"])
+    texts = spark.read.text(folder, wholetext=True)
+    return texts.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import detections as d
+from ..operators import precision
 from ..operators import tracks as t
 from ..operators.assignment import assign_one_to_one
 from ..operators.spatial import pair_overlap
@@ -57,7 +58,7 @@ def cgf1(b: DataFrame, x: DataFrame) -> DataFrame:
 
 @query("i6_detection_ap", "fx_boxes", "fx_dets")
 def ap(b: DataFrame, x: DataFrame) -> DataFrame:
-    return d.detection_ap(b, x)
+    return precision.detection_ap(b, x)
 
 
 @query("i10_exhaustive_scope", "fx_boxes", sql="SELECT DISTINCT image_id FROM {fx_boxes} WHERE image_id NOT IN (SELECT image_id FROM {fx_boxes} WHERE box_id = 5)")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from arrowlake.operators import graphs, spatial, tracks
 from arrowlake.operators.assignment import assign_one_to_one, solve
 from arrowlake.operators.datasets import k_groups_combos, split_train_val
-from arrowlake.operators.detections import cgf1, detection_ap
+from arrowlake.operators.detections import cgf1
+from arrowlake.operators.precision import detection_ap
 from arrowlake.operators.repair import snap_to_vocab
 from arrowlake.plans.components import connected_components
 

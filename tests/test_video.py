@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from arrowlake.operators import video
+from arrowlake.operators import precision, video
 
 
 def iou(a, b):
@@ -51,8 +51,8 @@ def test_precision_by_area_against_plain_python(spark):
     box = "x1 double, y1 double, x2 double, y2 double"
     g = spark.createDataFrame([(i, 1, n, *map(float, b)) for n, (i, b) in enumerate(gold)], f"image_id long, category_id long, box_id long, {box}")
     t = spark.createDataFrame([(i, 1, n, s, *map(float, b)) for i, n, s, b in dets], f"image_id long, category_id long, det_id long, score double, {box}")
-    out = {(r.area, r.threshold): r.ap for r in video.box_ap(g, t).collect()}
-    for name, (lo, hi) in video.IMAGE_AREAS.items():
+    out = {(r.area, r.threshold): r.ap for r in precision.box_ap(g, t).collect()}
+    for name, (lo, hi) in precision.IMAGE_AREAS.items():
         for threshold in (0.5, 0.75, 0.9):
             assert abs(out[name, threshold] - plain_ap(gold, dets, lo, hi, threshold)) < 1e-6
 
@@ -80,3 +80,19 @@ def test_occlusion_and_counters_against_plain_python(spark):
         alive = max(-4, min(8, alive + (1 if f % 3 == 0 or f > 20 else -1)))
         want.append(alive)
     assert [r.alive for r in video.keep_alive(matched).orderBy("frame").collect()] == want
+
+
+def test_running_counts_of_one_hot_group(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [("hot", rng.randint(0, 30) / 30, i, rng.randint(0, 1)) for i in range(3000)] + [(None, 0.5, 1, 1), ("small", 0.1, 2, 0)]
+    df = spark.createDataFrame(rows, "kind string, score double, id long, hit int").repartition(7)
+    out = precision.running_counts(df, ["kind"], [F.desc("score"), F.col("id")], "hit")
+    got = {(r.kind, r.id): (r.tp, r.n) for r in out.collect()}
+    ordered = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (-r[1], r[2]))
+    total = 0
+    for n, r in enumerate(ordered, 1):
+        total += r[3]
+        assert got["hot", r[2]] == (total, n)
+    assert got["small", 2] == (0, 1)
