@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,21 +50,60 @@ def k_groups_sliding(arrows: DataFrame, k: int) -> DataFrame:
     return arrows.withColumn("group_no", F.floor((F.row_number().over(w) - 1) / k))
 
 
+def unranked(rank: int, k: int) -> list[int]:
+    """The ``rank``-th k-subset of 0, 1, 2 ... in the combinatorial number system: rank is the sum of C(c_i, i)."""
+    out = []
+    for i in range(k, 0, -1):
+        low, high = i - 1, i
+        while math.comb(high, i) <= rank:
+            low, high = high, 2 * high
+        while high - low > 1:  # the largest c with C(c, i) <= rank
+            mid = (low + high) // 2
+            low, high = (mid, high) if math.comb(mid, i) <= rank else (low, mid)
+        out.append(low)
+        rank -= math.comb(low, i)
+    return out[::-1]
+
+
+def _drawn_ranks(k: int, seed: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for graph, n, every, j in zip(rows.graph_id, rows.n, rows.every, rows.j, strict=True):
+                mark = hashlib.blake2b(f"{seed}/{graph}/{j}".encode(), digest_size=16).digest()
+                rank = int(j) if every else int.from_bytes(mark, "big") % math.comb(int(n), k)
+                out.append((unranked(rank, k), int.from_bytes(mark[:8], "big", signed=True) if every else int(j)))
+            yield rows[["graph_id"]].assign(places=[x for x, _ in out], turn=[x for _, x in out])
+
+    return run
+
+
 def k_groups_combos(arrows: DataFrame, k: int, mul: int | None = None, seed: int = 42) -> DataFrame:
-    """Ordered ``k``-subsets of each diagram's arrows, at most ``mul * ceil(n / k)`` of them (``mul`` is k if not given;
-    negative: all) by a seeded order; a diagram of fewer arrows gives one short group."""
+    """``k``-subsets of each diagram's arrows, at most ``mul * ceil(n / k)`` of them (``mul`` is k if not given; negative:
+    all) by a seeded draw; a diagram of fewer arrows gives one short group.
+
+    Where there are more subsets than wanted, ranks are drawn and unranked, so the work grows with the groups that are
+    kept: up to four times as many ranks are tried, each from a hash of diagram and turn, and of equal ones the first counts.
+    """
     items = arrows.select("graph_id", "arrow_id")
-    sizes = items.groupBy("graph_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("arrow_id")).alias("all"))
-    groups = items.select("graph_id", F.array("arrow_id").alias("ids"))
-    for _ in range(k - 1):
-        step = groups.join(items, "graph_id").where(F.col("arrow_id") > F.element_at("ids", -1))
-        groups = step.select("graph_id", F.concat("ids", F.array("arrow_id")).alias("ids"))
-    full = groups.join(sizes.select("graph_id", "n"), "graph_id")
-    mul = k if mul is None else mul
-    if mul >= 0:
-        w = Window.partitionBy("graph_id").orderBy(seeded(seed, "graph_id", "ids"), "ids")
-        full = full.withColumn("r", F.row_number().over(w)).where(F.col("r") <= mul * F.ceil(F.col("n") / k))
-    short = sizes.where(F.col("n") < k).select("graph_id", F.col("all").alias("ids"))
+    numbered = items.withColumn("place", (F.row_number().over(Window.partitionBy("graph_id").orderBy("arrow_id")) - 1).cast("long"))
+    sizes = items.groupBy("graph_id").agg(F.count("*").alias("n"))
+    short = items.join(sizes.where(F.col("n") < k), "graph_id").groupBy("graph_id").agg(F.sort_array(F.collect_list("arrow_id")).alias("ids"))
+    every = mul is not None and mul < 0
+    subsets = F.lit(1.0)
+    for i in range(1, k + 1):
+        subsets = subsets * (F.col("n") - k + i) / i  # near enough to compare with, and whole below 2^53
+    plan = sizes.where(F.col("n") >= k).withColumn("wanted", (k if mul is None else max(mul, 0)) * F.ceil(F.col("n") / k))
+    tried = 4 * F.col("wanted") + 64
+    plan = plan.withColumn("every", F.lit(True) if every else subsets <= tried).withColumn("turns", F.when(F.col("every"), F.round(subsets)).otherwise(tried).cast("long"))
+    draws = plan.select("graph_id", "n", "every", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("j")).repartition("graph_id", "j")
+    kind = f"graph_id {items.schema['graph_id'].dataType.simpleString()}, places array<long>, turn long"
+    found = draws.mapInPandas(_drawn_ranks(k, seed), kind).groupBy("graph_id", "places").agg(F.min("turn").alias("turn"))
+    if not every:
+        w = Window.partitionBy("graph_id").orderBy("turn", "places")
+        found = found.withColumn("r", F.row_number().over(w)).join(plan.select("graph_id", "wanted"), "graph_id").where("r <= wanted")
+    each = found.select("graph_id", "places", F.explode("places").alias("place")).join(numbered, ["graph_id", "place"])
+    full = each.groupBy("graph_id", "places").agg(F.sort_array(F.collect_list("arrow_id")).alias("ids"))
     return full.select("graph_id", "ids").unionByName(short)
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .fuzzy import candidates
 from .scoring import rate
 
 
@@ -15,14 +16,16 @@ def snap_to_vocab(fields: DataFrame, vocab: DataFrame, key: str = "graph_id", te
     """``fields`` with ``snapped``: the unique closest word of its vocabulary (case aside, at most ``max_dist`` edits).
 
     A tie, or a word equal but for case, leaves the text as it is; so do reserved texts and those shorter than
-    ``min_len``. Pairs share the key and lie within the length band before any distance is computed.
+    ``min_len``. Only pairs that share a signature of ``fuzzy.candidates`` are compared.
     """
     asked = fields.select(key, text).distinct().where(F.length(text) >= min_len)
     if reserved:
         asked = asked.where(~F.lower(text).isin(*reserved))
     words = vocab.select(key, "word").distinct()
-    a, b = F.lower(text), F.lower("word")
-    pairs = asked.join(words, key).where(F.abs(F.length(text) - F.length("word")) <= max_dist).withColumn("dist", F.levenshtein(a, b, max_dist)).where("dist >= 0")
+    low_text, low_word = asked.select(key, F.lower(text).alias("low_text")).distinct(), words.select(key, F.lower("word").alias("low_word")).distinct()
+    near = candidates(low_text, low_word, [key], "low_text", "low_word", F.lit(max_dist), max_dist).withColumn("dist", F.levenshtein("low_text", "low_word", max_dist)).where("dist >= 0")
+    pairs = asked.withColumn("low_text", F.lower(text)).join(near, [key, "low_text"]).join(words.withColumn("low_word", F.lower("word")), [key, "low_word"])
+    pairs = pairs.where(F.abs(F.length(text) - F.length("word")) <= max_dist)
     best = pairs.groupBy(key, text).agg(F.min(F.struct("dist", "word")).alias("best"), F.array_sort(F.collect_list("dist")).alias("all"))
     unique = best.where((F.col("best.dist") > 0) & ((F.size("all") == 1) | (F.get("all", F.lit(1)) > F.get("all", F.lit(0))))).select(key, text, F.col("best.word").alias("snapped"))
     return fields.join(unique, [key, text], "left").withColumn("snapped", F.coalesce("snapped", text))
