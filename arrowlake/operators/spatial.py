@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import boxes
 from ..plans.components import connected_components
+from ..plans.materialize import written
 from .greedy import suppress
 
 
@@ -96,17 +97,58 @@ def classify_text(texts: DataFrame, nodes: DataFrame, on: list[str], text: str)
     return texts.select(*on, text).join(held, [*on, text], "left").withColumn("is_node", F.coalesce("is_node", F.lit(False)))
 
 
-def nearest_node(arrows: DataFrame, nodes: DataFrame, on: list[str], arrow: str, node: str) -> DataFrame:
+def nearest_boxes(points: DataFrame, nodes: DataFrame, on: list[str], point: str, node: str, cell: float) -> DataFrame:
+    """(on, point, best) with ``best`` (d, node, text) of the nearest box to each point (x, y), ties to the least node.
+
+    A grid of ``cell`` is searched first, in the nine cells about a point; what lies no farther than a cell is found for
+    certain. Points without such a box go on to a grid of twice the size, until a cell spans everything. So a point meets
+    the boxes of its surroundings only, however many its drawing has, and each round leaves the lonelier points.
+    A box lies in every cell that it covers. Points of a drawing without boxes get no row.
+    """
+    corners = boxes.corners()
+    asked = points.select(*on, F.col(point).alias("point"), "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    held = nodes.select(*on, F.col(node).alias("node"), "text", *boxes.CORNERS).where(" AND ".join(f"{c} IS NOT NULL" for c in boxes.CORNERS))
+    ends = asked.select("x", "y").union(held.select("x1", "y1")).union(held.select("x2", "y2"))
+    span = ends.agg((F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).alias("s")).first()[0] or 0.0
+    left, found, size = asked, None, cell
+    while True:
+        at = lambda c, by=size: F.floor(c / by)
+        about = lambda c: F.explode(F.array(*[at(F.col(c)) + i for i in (-1, 0, 1)]))
+        near = left.withColumn("cx", about("x")).withColumn("cy", about("y"))
+        spread = held.withColumn("cx", F.explode(F.sequence(at(corners[0]), at(corners[2])))).withColumn("cy", F.explode(F.sequence(at(corners[1]), at(corners[3]))))
+        pairs = near.join(spread, [*on, "cx", "cy"])
+        best = F.min(F.struct(boxes.distance_to("", F.col("x"), F.col("y")).alias("d"), "node", "text")).alias("best")
+        best = pairs.groupBy(*on, "point", "x", "y").agg(best)
+        done = size > span
+        sure = written(best if done else best.where(F.col("best.d") <= size))
+        found = sure.select(*on, "point", "best") if found is None else found.unionByName(sure.select(*on, "point", "best"))
+        if done:
+            return found.withColumnRenamed("point", point)
+        left = written(left.join(sure.select(*on, "point"), [*on, "point"], "left_anti"))
+        if left.isEmpty():
+            return found.withColumnRenamed("point", point)
+        size *= 2
+
+
+def nearest_node(arrows: DataFrame, nodes: DataFrame, on: list[str], arrow: str, node: str, cell: float | None = None) -> DataFrame:
     """Source and target node of each arrow: nearest to its tail - the box corner farthest from the head's centre (hx, hy) - and to the head.
 
-    Arrows whose two ends carry the same text are dropped.
+    Arrows whose two ends carry the same text are dropped. With ``cell`` nodes are searched by ``nearest_boxes``, for
+    drawings with very many of them.
     """
     x1, y1, x2, y2 = boxes.corners()
     spots = F.array(*[F.struct((F.pow(x - F.col("hx"), 2) + F.pow(y - F.col("hy"), 2)).alias("d"), F.lit(-i).alias("no"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate([(x1, y1), (x2, y1), (x1, y2), (x2, y2)])])
     tails = arrows.withColumn("tail", F.array_max(spots))
-    pairs = tails.select(*on, F.struct("*").alias("a")).join(nodes.select(*on, F.struct("*").alias("b")), on)
-    near = lambda x, y: F.min(F.struct(boxes.distance_to("b.", F.col(x), F.col(y)).alias("d"), F.col(f"b.{node}").alias("node"), F.col("b.text").alias("text")))
-    out = pairs.groupBy(*on, F.col(f"a.{arrow}").alias("arrow")).agg(near("a.tail.x", "a.tail.y").alias("s"), near("a.hx", "a.hy").alias("t"))
+    if cell is None:
+        pairs = tails.select(*on, F.struct("*").alias("a")).join(nodes.select(*on, F.struct("*").alias("b")), on)
+        near = lambda x, y: F.min(F.struct(boxes.distance_to("b.", F.col(x), F.col(y)).alias("d"), F.col(f"b.{node}").alias("node"), F.col("b.text").alias("text")))
+        out = pairs.groupBy(*on, F.col(f"a.{arrow}").alias("arrow")).agg(near("a.tail.x", "a.tail.y").alias("s"), near("a.hx", "a.hy").alias("t"))
+    else:
+        ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(x).alias("x"), F.col(y).alias("y")) for side, x, y in (("s", "tail.x", "tail.y"), ("t", "hx", "hy"))])).alias("e")
+        points = tails.select(*on, F.col(arrow).alias("arrow"), ends).select(*on, F.struct("arrow", "e.side").alias("end"), "e.x", "e.y")
+        best = nearest_boxes(points, nodes, on, "end", node, cell)
+        of = lambda side: F.max(F.when(F.col("end.side") == side, F.col("best"))).alias(side)
+        out = best.groupBy(*on, F.col("end.arrow").alias("arrow")).agg(of("s"), of("t"))
     return out.where("s.text <> t.text").select(*on, "arrow", F.col("s.node").alias("source"), F.col("t.node").alias("target"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as fb
 from ..operators import spatial as sp
-from ..registry import query
+from ..registry import ORACLE_SQL, query
 
 INTER = "(least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 TOUCH = "a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2"
@@ -146,6 +146,16 @@ def nearest(d: DataFrame, b: DataFrame) -> DataFrame:
     return sp.nearest_node(arrows, nodes, ["image_id"], "det_id", "box_id")
 
 
+@query("e9_nearest_node_grid", "fx_dets", "fx_boxes")
+def nearest_on_grid(d: DataFrame, b: DataFrame) -> DataFrame:
+    arrows = d.withColumns({"hx": F.col("x1") + 1, "hy": F.col("y1") + 2})
+    nodes = b.withColumn("text", F.concat(F.lit("n"), F.col("category_id").cast("string")))
+    return sp.nearest_node(arrows, nodes, ["image_id"], "det_id", "box_id", cell=16.0)
+
+
+ORACLE_SQL["e9_nearest_node_grid"] = ORACLE_SQL["e9_nearest_node"]
+
+
 @query(
     "e10_orient_by_points",
     "fx_dets",

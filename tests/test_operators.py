@@ -14,13 +14,41 @@ from arrowlake.operators.repair import snap_to_vocab
 from arrowlake.plans.components import connected_components
 
 
+def total(table):
+    """The highest total of any one-to-one choice, by trying all."""
+    k, wide = min(table.shape), table if table.shape[0] <= table.shape[1] else table.T
+    return max(sum(wide[i, p[i]] for i in range(k)) for p in itertools.permutations(range(wide.shape[1]), k))
+
+
+def sparse(table):
+    return [list(x) for x in zip(*((i, j, table[i, j]) for i, j in zip(*np.nonzero(table))))] or [[], [], []]
+
+
 def test_solver_finds_the_best_total():
     rng = np.random.default_rng(1)
-    for n, m in [(1, 4), (4, 1), (3, 3), (4, 5), (5, 3)]:
-        s = rng.integers(0, 9, (n, m)).astype(float)
-        k, wide = min(n, m), s if n <= m else s.T
-        best = max(sum(wide[i, p[i]] for i in range(k)) for p in itertools.permutations(range(wide.shape[1]), k))
-        assert sum(s[i, j] for i, j in solve(s)) == best
+    for trial in range(400):
+        n, m = rng.integers(1, 6, 2)
+        s = rng.integers(0, 9, (n, m)).astype(float) if trial % 2 else rng.random((n, m)) * (rng.random((n, m)) < 0.6)
+        xs, ys, scores = sparse(s)
+        chosen = solve(xs, ys, scores)
+        assert len({xs[i] for i in chosen}) == len({ys[i] for i in chosen}) == len(chosen)
+        assert abs(sum(scores[i] for i in chosen) - total(s)) < 1e-9
+
+
+def test_solver_takes_a_large_sparse_group():
+    rng = np.random.default_rng(2)
+    n = 3000  # a dense table would have nine million cells
+    xs, ys = np.repeat(np.arange(n), 4), rng.integers(0, n, 4 * n)
+    key = np.unique(xs * n + ys)
+    xs, ys = (key // n).tolist(), (key % n).tolist()
+    scores = rng.random(len(xs)).tolist()
+    chosen = solve(xs, ys, scores)
+    assert len({xs[i] for i in chosen}) == len({ys[i] for i in chosen}) == len(chosen)
+    greedy, free_x, free_y = 0.0, set(xs), set(ys)
+    for s, x, y in sorted(zip(scores, xs, ys), reverse=True):
+        if x in free_x and y in free_y:
+            greedy, free_x, free_y = greedy + s, free_x - {x}, free_y - {y}
+    assert sum(scores[i] for i in chosen) > greedy
 
 
 def test_assignment_per_group(spark):
@@ -28,10 +56,23 @@ def test_assignment_per_group(spark):
     out = assign_one_to_one(spark.createDataFrame(rows, "g int, a int, b int, s double"), ["g"], "a", "b", "s").toPandas()
     for g, part in out.groupby("g"):
         table = np.array([[(a * 7 + b * 3 + g) % 5 for b in range(4)] for a in range(3)], float)
-        assert part.s.sum() == sum(table[i, j] for i, j in solve(table))
+        assert part.s.sum() == total(table)
         assert part.a.is_unique and part.b.is_unique
 
 
+def test_nearest_boxes_on_a_grid(spark):
+    rng = np.random.default_rng(3)
+    nodes = [(d, i, f"n{i % 5}", *(x := [float(v) for v in rng.integers(-50, 400, 2)]), x[0] + float(rng.integers(0, 90)), x[1] + float(rng.integers(0, 9))) for d in (1, 2) for i in range(40)] + [(3, 0, "far", 9000.0, 9000.0, 9001.0, 9001.0)]
+    points = [(d, i, *[float(v) for v in rng.integers(-200, 600, 2)]) for d in (1, 2, 3, 4) for i in range(60)]
+    out = spatial.nearest_boxes(spark.createDataFrame(points, "image_id long, p long, x double, y double"), spark.createDataFrame(nodes, "image_id long, box_id long, text string, x1 double, y1 double, x2 double, y2 double"), ["image_id"], "p", "box_id", 7.0)
+    got = {(r.image_id, r.p): (r.best.d, r.best.node) for r in out.collect()}
+    for d, i, x, y in points:
+        near = [(np.hypot(max(n[3] - x, x - n[5], 0), max(n[4] - y, y - n[6], 0)), n[1]) for n in nodes if n[0] == d]
+        assert ((d, i) in got) == bool(near)
+        if near:
+            assert got[d, i][1] == min(near)[1] and abs(got[d, i][0] - min(near)[0]) < 1e-9
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (5, 5), (None, 3)]
     out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
