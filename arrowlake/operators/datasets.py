@@ -199,13 +199,23 @@ def reindex_one_based(tables: dict[str, DataFrame], references: dict[str, list[t
     return out
 
 
-def category_queries(images: DataFrame, anns: DataFrame, cats: DataFrame, negatives: bool = True) -> DataFrame:
-    """Per image and category one query with the ids of its objects; ``negatives`` keeps those without any."""
+def category_queries(images: DataFrame, anns: DataFrame, cats: DataFrame, negatives: bool = True, chunk: int | None = None) -> DataFrame:
+    """Per image and category one query with the ids of its objects; ``negatives`` keeps those without any.
+
+    With ``chunk`` the categories, in order of id, are cut into chunks of so many, and a query has its ``chunk`` and its
+    number ``query_no`` within image and chunk, both from 0.
+    """
     held = anns.groupBy("image_id", "category_id").agg(F.sort_array(F.collect_list("box_id")).alias("objects"))
-    if not negatives:
-        return held.join(images.select("image_id"), "image_id")
-    every = images.select("image_id").join(cats.select("category_id"))
-    return every.join(held, ["image_id", "category_id"], "left").withColumn("objects", F.coalesce("objects", F.array().cast("array<bigint>")))
+    if negatives:
+        every = images.select("image_id").join(cats.select("category_id"))  # the contract: a row for each
+        out = every.join(held, ["image_id", "category_id"], "left").withColumn("objects", F.coalesce("objects", F.array().cast("array<bigint>")))
+    else:
+        out = held.join(images.select("image_id"), "image_id").join(cats.select("category_id"), "category_id", "left_semi")
+    if chunk is None:
+        return out
+    ranks = dense_ids(cats.select("category_id").distinct(), ["category_id"], "rank").select("category_id", F.floor((F.col("rank") - 1) / chunk).alias("chunk"))
+    w = Window.partitionBy("image_id", "chunk").orderBy("category_id")
+    return out.join(ranks, "category_id").withColumn("query_no", (F.row_number().over(w) - 1).cast("long"))
 
 
 def filter_queries(queries: DataFrame, rules: list[Column]) -> DataFrame:

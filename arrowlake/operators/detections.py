@@ -82,3 +82,8 @@ def best_of_ground_truths(scores: DataFrame) -> DataFrame:
     means = scores.groupBy("image_id", "gt_no").agg(F.avg("f1").alias("mean_f1"))
     w = Window.partitionBy("image_id").orderBy(F.col("mean_f1").isNull().desc(), F.desc("mean_f1"), "gt_no")
     return means.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def exhaustive_scope(images: DataFrame, partial: DataFrame) -> DataFrame:
+    """Images that no gold set marks as partly labelled (``partial``: image_id)."""
+    return images.select("image_id").distinct().join(partial.select("image_id"), "image_id", "left_anti")

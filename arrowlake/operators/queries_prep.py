@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,12 +106,29 @@ def ytvis_tracks(tracks: DataFrame) -> DataFrame:
     return out.withColumn("area", F.when(F.size("areas") > 0, F.aggregate("areas", F.lit(0.0), lambda s, a: s + a) / F.size("areas")).otherwise(0.0))
 
 
-def rewrite_queries(queries: DataFrame, objects: DataFrame, p: float, seed: int = 42) -> DataFrame:
+def _lucky(p: float, seed: int) -> Column:
+    """True for a share ``p`` of the queries, by a seeded hash."""
+    return F.pmod(seeded(seed + 1, "image_id", "query_id"), F.lit(1_000_000)) < int(p * 1_000_000)
+
+
+def rewrite_queries(queries: DataFrame, objects: DataFrame, p: float, seed: int = 42, keep_text: bool = False, text: str = "visual") -> DataFrame:
     """With probability ``p`` (by a seeded hash) a text query of the first stage that has a target and no box becomes a box
-    query of one of its targets, chosen by hash; all others stay."""
+    query of one of its targets, chosen by hash, named ``text`` unless ``keep_text``; all others stay."""
     pick = seeded(seed, "image_id", "query_id", "box_id")
     chosen = queries.join(objects, ["image_id", "category_id"]).groupBy("image_id", "query_id").agg(F.min_by(F.struct("x1", "y1", "x2", "y2"), F.struct(pick, "box_id")).alias("target"))
-    lucky = F.pmod(seeded(seed + 1, "image_id", "query_id"), F.lit(1_000_000)) < int(p * 1_000_000)
     out = queries.join(chosen, ["image_id", "query_id"], "left")
-    turns = lucky & (F.col("stage") == 0) & F.col("input_box").isNull() & F.col("target").isNotNull()
-    return out.withColumns({"query_text": F.when(turns, "geometric").otherwise(F.col("query_text")), "input_box": F.when(turns, F.col("target")).otherwise(F.col("input_box"))}).drop("target")
+    turns = _lucky(p, seed) & (F.col("stage") == 0) & F.col("input_box").isNull() & F.col("target").isNotNull()
+    new = {"input_box": F.when(turns, F.col("target")).otherwise(F.col("input_box"))}
+    if not keep_text:
+        new["query_text"] = F.when(turns, text).otherwise(F.col("query_text"))
+    return out.withColumns(new).drop("target")
+
+
+def drop_input_boxes(queries: DataFrame) -> DataFrame:
+    """Queries without their input boxes."""
+    return queries.withColumn("input_box", F.lit(None).cast(queries.schema["input_box"].dataType))
+
+
+def overwrite_text(queries: DataFrame, text: str, p: float = 1.0, seed: int = 42) -> DataFrame:
+    """With probability ``p`` (by a seeded hash) a query's text is ``text``."""
+    return queries.withColumn("query_text", F.when(_lucky(p, seed), text).otherwise(F.col("query_text")))

@@ -152,6 +152,15 @@ def nearest_node(arrows: DataFrame, nodes: DataFrame, on: list[str], arrow: str,
     return out.where("s.text <> t.text").select(*on, "arrow", F.col("s.node").alias("source"), F.col("t.node").alias("target"))
 
 
+def point_edge_distance(points: DataFrame, items: DataFrame, on: list[str]) -> DataFrame:
+    """(on, a, b, l, t, r, b_): signed distances of each point (x, y; struct ``b``) to the left, top, right and lower edge of
+    each box (struct ``a``) that shares ``on``; all are positive inside."""
+    pairs = items.select(*on, F.struct("*").alias("a")).join(points.select(*on, F.struct("*").alias("b")), on)
+    x1, y1, x2, y2 = boxes.corners("a.")
+    x, y = F.col("b.x"), F.col("b.y")
+    return pairs.select(*on, "a", "b", (x - x1).alias("l"), (y - y1).alias("t"), (x2 - x).alias("r"), (y2 - y).alias("b_"))
+
+
 def orient_by_points(arrows: DataFrame) -> DataFrame:
     """``a_is_source`` for arrows with node centres (ax, ay), (bx, by), head (hx, hy) and maybe a starting point (fx, fy)."""
     d = lambda p, q: F.pow(F.col(f"{p}x") - F.col(f"{q}x"), 2) + F.pow(F.col(f"{p}y") - F.col(f"{q}y"), 2)

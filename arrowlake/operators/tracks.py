@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import boxes
 from .assignment import assign_one_to_one
 from .datasets import dense_ids
+from .spatial import pair_overlap
 
 
 def cornered(frames: DataFrame) -> DataFrame:
@@ -42,10 +43,53 @@ def track_area(frames: DataFrame) -> DataFrame:
     return frames.groupBy("video_id", "track_id").agg(F.coalesce(F.avg(F.when(a > 0, a)), F.lit(0.0)).alias("area"))
 
 
-def remap_video_category(gt: DataFrame, dt: DataFrame) -> DataFrame:
-    """(video_id, category_id, new_id) for each pair seen in either table, in sorted order from 1."""
-    seen = gt.select("video_id", "category_id").union(dt.select("video_id", "category_id")).distinct()
-    return dense_ids(seen, ["video_id", "category_id"], "new_id").select("video_id", "category_id", "new_id")
+def remap_video_category(gt: DataFrame, dt: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(video_id, category_id, new_id) for each pair seen in either table, in sorted order from 1.
+
+    ``pairs`` (video_id, category_id, pair_no) are further ones, negative ones among them: those not seen follow after
+    the others, in the order of their first ``pair_no``.
+    """
+    key = ["video_id", "category_id"]
+    seen = gt.select(*key).union(dt.select(*key)).distinct()
+    out = dense_ids(seen, key, "new_id").select(*key, "new_id")
+    if pairs is None:
+        return out
+    rest = pairs.groupBy(*key).agg(F.min("pair_no").alias("pair_no")).join(seen, key, "left_anti")
+    last = out.agg(F.coalesce(F.max("new_id"), F.lit(0)).alias("last"))
+    later = dense_ids(rest, ["pair_no", *key], "n").join(last)  # one row of ``last``
+    return out.unionByName(later.select(*key, (F.col("n") + F.col("last")).cast("long").alias("new_id")))
+
+
+def associate(tracks: DataFrame, dets: DataFrame, on: list[str], iou: float = 0.5, track_iou: float = 0.5, new_score: float = 0.3, one_to_one: bool = False, sure: float = 0.8) -> DataFrame:
+    """(on, what, track_id, det_id): how a frame's detections (det_id, score, corners) meet its tracks (track_id, corners).
+
+    ``matched``: pairs that overlap by ``iou``. ``new``: detections of ``new_score`` without such a track; in a frame without
+    tracks every detection. ``unmatched``: tracks of some area that no detection overlaps by ``track_iou``, or, with
+    ``one_to_one``, whose detection in the assignment of highest total overlap does not; none in a frame without
+    tracks. ``empty``: tracks without area. ``sure``: for a track its detection of score and overlap ``sure``, among those whose
+    best track it is (the least id on ties); of several the last id.
+    """
+    none = lambda c, kind="long": F.lit(None).cast(kind).alias(c)
+    held = tracks.withColumn("some", boxes.area() > 0)
+    pairs = pair_overlap(held.where("some"), dets, on, ["iou"]).select(*on, F.col("a.track_id").alias("track_id"), F.col("b.det_id").alias("det_id"), F.col("b.score").alias("score"), "iou")
+    near = pairs.where(F.col("iou") >= iou)
+    found = near.select(*on, F.lit("matched").alias("what"), "track_id", "det_id")
+    alone = dets.join(held.select(*on).distinct().withColumn("any", F.lit(True)), on, "left").where(F.col("any").isNull() | (F.col("score") >= new_score))
+    fresh = alone.join(near.select(*on, "det_id").distinct(), [*on, "det_id"], "left_anti")
+    close = assign_one_to_one(pairs, on, "track_id", "det_id", "iou") if one_to_one else pairs
+    lost = held.where("some").join(close.where(F.col("iou") >= track_iou).select(*on, "track_id").distinct(), [*on, "track_id"], "left_anti")
+    best = pairs.groupBy(*on, "det_id").agg(F.max_by(F.struct("track_id", "score", "iou"), F.struct("iou", -F.col("track_id"))).alias("b"))
+    strong = best.where((F.col("b.score") >= sure) & (F.col("b.iou") >= sure)).select(*on, "det_id", F.col("b.track_id").alias("track_id"))
+    strong = strong.join(fresh.select(*on, "det_id"), [*on, "det_id"], "left_anti").groupBy(*on, "track_id").agg(F.max("det_id").alias("det_id"))
+    parts = [
+        fresh.select(*on, F.lit("new").alias("what"), none("track_id"), "det_id"),
+        lost.select(*on, F.lit("unmatched").alias("what"), "track_id", none("det_id")),
+        held.where("NOT some").select(*on, F.lit("empty").alias("what"), "track_id", none("det_id")),
+        strong.select(*on, F.lit("sure").alias("what"), "track_id", "det_id"),
+    ]
+    for part in parts:
+        found = found.unionByName(part)
+    return found
 
 
 def unique_track_ids(frames: DataFrame) -> DataFrame:

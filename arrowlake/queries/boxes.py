@@ -263,10 +263,8 @@ def masks(b: DataFrame, d: DataFrame) -> DataFrame:
     sql="SELECT b.image_id, b.box_id, d.det_id, d.x1 - b.x1 AS l, d.y1 - b.y1 AS t, b.x2 - d.x1 AS r, b.y2 - d.y1 AS b FROM {fx_boxes} b JOIN {fx_dets} d USING (image_id)",
 )
 def edges(b: DataFrame, d: DataFrame) -> DataFrame:
-    pairs = sp.pair_overlap(b, d, ["image_id"], [], touching=False)
-    x, y = F.col("b.x1"), F.col("b.y1")
-    x1, y1, x2, y2 = fb.corners("a.")
-    return pairs.select("image_id", "a.box_id", "b.det_id", (x - x1).alias("l"), (y - y1).alias("t"), (x2 - x).alias("r"), (y2 - y).alias("b"))
+    points = d.select("image_id", "det_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return sp.point_edge_distance(points, b, ["image_id"]).select("image_id", "a.box_id", "b.det_id", "l", "t", "r", F.col("b_").alias("b"))
 
 
 @query(

@@ -125,6 +125,16 @@ def by_category(b: DataFrame) -> DataFrame:
     return q.select("image_id", "category_id", F.array_join(F.col("objects").cast("array<string>"), ",").alias("objects"))
 
 
+@query(
+    "g13_category_chunks",
+    "fx_boxes",
+    sql="""SELECT image_id, category_id, (category_id - 1) // 2 AS chunk, row_number() OVER (PARTITION BY image_id, (category_id - 1) // 2 ORDER BY category_id) - 1 AS query_no, string_agg(box_id, ',' ORDER BY box_id) AS objects FROM {fx_boxes} GROUP BY image_id, category_id""",
+)
+def by_chunk(b: DataFrame) -> DataFrame:
+    q = ds.category_queries(b.select("image_id").distinct(), b, b.select("category_id").distinct(), negatives=False, chunk=2)
+    return q.select("image_id", "category_id", "chunk", "query_no", F.array_join(F.col("objects").cast("array<string>"), ",").alias("objects"))
+
+
 @query(
     "g15_filter_queries",
     "fx_boxes",

@@ -123,11 +123,31 @@ def ytvis(p: DataFrame) -> DataFrame:
     return out.select("video_id", "track_id", "area", F.size(F.filter("areas", lambda x: x == 0)).cast("long").alias("zeros"))
 
 
+def _asked(b: DataFrame) -> DataFrame:
+    box = F.struct("x1", "y1", "x2", "y2")
+    return b.select("image_id", F.col("box_id").alias("query_id"), "category_id", F.lit("thing").alias("query_text"), (F.col("box_id") % 2).alias("stage"), F.when(F.col("box_id") % 5 == 0, box).alias("input_box"))
+
+
 @query("g22_rewrite_queries", "fx_boxes")
 def rewritten(b: DataFrame) -> DataFrame:
-    box = F.struct("x1", "y1", "x2", "y2")
-    q = b.select("image_id", F.col("box_id").alias("query_id"), "category_id", F.lit("thing").alias("query_text"), (F.col("box_id") % 2).alias("stage"), F.when(F.col("box_id") % 5 == 0, box).alias("input_box"))
-    return qp.rewrite_queries(q, b, 0.5).select("image_id", "query_id", "query_text", "stage")
+    return qp.rewrite_queries(_asked(b), b, 0.5).select("image_id", "query_id", "query_text", "stage")
+
+
+@query(
+    "g22_rewrite_rules",
+    "fx_boxes",
+    sql="""SELECT image_id, box_id AS query_id, CASE WHEN box_id % 2 = 0 AND box_id % 5 <> 0 THEN 'visual' ELSE 'thing' END AS turned, CASE WHEN box_id % 2 = 0 AND box_id % 5 <> 0 OR box_id % 5 = 0 THEN 1 ELSE 0 END AS boxes,
+  'thing' AS kept, 0 AS without, 'other' AS overwritten, 'thing' AS never FROM {fx_boxes}""",
+)
+def rules(b: DataFrame) -> DataFrame:
+    """All three rules with certainty, where chance plays no part: a query's only targets are those of its category."""
+    asked, key = _asked(b), ["image_id", "query_id"]
+    turned = qp.rewrite_queries(asked, b, 1.0).select(*key, F.col("query_text").alias("turned"), F.col("input_box").isNotNull().cast("int").alias("boxes"))
+    kept = qp.rewrite_queries(asked, b, 1.0, keep_text=True).select(*key, F.col("query_text").alias("kept"))
+    without = qp.drop_input_boxes(asked).select(*key, F.col("input_box").isNotNull().cast("int").alias("without"))
+    other = qp.overwrite_text(asked, "other").select(*key, F.col("query_text").alias("overwritten"))
+    never = qp.overwrite_text(asked, "other", 0.0).select(*key, F.col("query_text").alias("never"))
+    return turned.join(kept, key).join(without, key).join(other, key).join(never, key)
 
 
 @query("f4_snap_to_vocab_ratio", "fx_pred", "fx_vocab")

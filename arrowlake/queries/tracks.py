@@ -63,7 +63,7 @@ def ap(b: DataFrame, x: DataFrame) -> DataFrame:
 
 @query("i10_exhaustive_scope", "fx_boxes", sql="SELECT DISTINCT image_id FROM {fx_boxes} WHERE image_id NOT IN (SELECT image_id FROM {fx_boxes} WHERE box_id = 5)")
 def exhaustive(b: DataFrame) -> DataFrame:
-    return b.select("image_id").distinct().join(b.where("box_id = 5").select("image_id"), "image_id", "left_anti")
+    return d.exhaustive_scope(b, b.where("box_id = 5"))
 
 
 @query(
@@ -211,22 +211,42 @@ def left(q: DataFrame) -> DataFrame:
     return t.resume(todo, q.withColumn("predicted", F.when(F.col("predicted") != "unclear", F.col("predicted")).otherwise(" ")), ["image_id", "question_no"], "predicted")
 
 
+NEAR = f"""a AS ({GB.format('{fx_track_frames}')}), b AS (SELECT video_id, track_id AS det_id, frame, x AS x1, y AS y1, x + w AS x2, y + h AS y2, score FROM {{fx_pred_frames}}),
+n AS (SELECT a.video_id, a.frame, a.track_id, b.det_id, b.score, {IOU} AS iou FROM a JOIN b USING (video_id, frame) WHERE {TOUCH})"""
+
+
 @query(
     "k1_associate",
     "fx_track_frames",
     "fx_pred_frames",
-    sql=f"""WITH a AS ({GB.format('{fx_track_frames}')}), b AS (SELECT video_id, track_id, frame, x AS x1, y AS y1, x + w AS x2, y + h AS y2, score FROM {{fx_pred_frames}}),
-o AS (SELECT a.video_id, a.frame, a.track_id AS s, b.track_id AS t FROM a JOIN b USING (video_id, frame) WHERE {TOUCH} AND {IOU} >= 0.5::DOUBLE)
-SELECT video_id, frame, track_id AS id, 'new' AS what FROM b WHERE score >= 0.3 AND NOT EXISTS (SELECT 1 FROM o WHERE o.video_id = b.video_id AND o.frame = b.frame AND o.t = b.track_id)
-UNION ALL SELECT video_id, frame, track_id, 'unmatched' FROM a WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.video_id = a.video_id AND o.frame = a.frame AND o.s = a.track_id)""",
+    sql=f"""WITH {NEAR}, o AS (SELECT * FROM n WHERE iou >= 0.5::DOUBLE),
+fresh AS (SELECT video_id, frame, det_id FROM b WHERE (score >= 0.3 OR NOT EXISTS (SELECT 1 FROM a WHERE a.video_id = b.video_id AND a.frame = b.frame)) AND NOT EXISTS (SELECT 1 FROM o WHERE o.video_id = b.video_id AND o.frame = b.frame AND o.det_id = b.det_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame, det_id ORDER BY iou DESC, track_id) AS r FROM n)
+SELECT video_id, frame, 'matched' AS what, track_id, det_id FROM o UNION ALL SELECT video_id, frame, 'new', NULL, det_id FROM fresh
+UNION ALL SELECT video_id, frame, 'unmatched', track_id, NULL FROM a WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.video_id = a.video_id AND o.frame = a.frame AND o.track_id = a.track_id)
+UNION ALL SELECT video_id, frame, 'sure', track_id, max(det_id) FROM best WHERE r = 1 AND score >= 0.8::DOUBLE AND iou >= 0.8::DOUBLE AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.video_id = best.video_id AND f.frame = best.frame AND f.det_id = best.det_id) GROUP BY ALL""",
 )
 def associated(g: DataFrame, p: DataFrame) -> DataFrame:
-    tracks, dets = t.cornered(g), t.cornered(p)
-    key = ["video_id", "frame"]
-    near = pair_overlap(tracks, dets, key, ["iou"]).where("iou >= 0.5")
-    new = dets.where("score >= 0.3").join(near.select(*key, F.col("b.track_id").alias("track_id")), [*key, "track_id"], "left_anti")
-    lost = tracks.join(near.select(*key, F.col("a.track_id").alias("track_id")), [*key, "track_id"], "left_anti")
-    return new.select(*key, F.col("track_id").alias("id"), F.lit("new").alias("what")).unionByName(lost.select(*key, F.col("track_id").alias("id"), F.lit("unmatched").alias("what")))
+    return t.associate(t.cornered(g), t.cornered(p.withColumnRenamed("track_id", "det_id")), ["video_id", "frame"])
+
+
+@query("k1_associate_one_to_one", "fx_track_frames", "fx_pred_frames")
+def associated_once(g: DataFrame, p: DataFrame) -> DataFrame:
+    return t.associate(t.cornered(g), t.cornered(p.withColumnRenamed("track_id", "det_id")), ["video_id", "frame"], track_iou=0.7, one_to_one=True)
+
+
+@query(
+    "j3_negative_pairs",
+    "fx_track_frames",
+    "fx_pred_frames",
+    sql="""WITH s AS (SELECT video_id, category_id FROM {fx_track_frames} WHERE track_id % 4 <> 0 UNION SELECT video_id, category_id FROM {fx_pred_frames} WHERE score > 0.5),
+i AS (SELECT video_id, category_id, row_number() OVER (ORDER BY video_id, category_id) AS new_id FROM s),
+p AS (SELECT video_id, category_id, min(track_id * 7 % 5) AS pair_no FROM {fx_track_frames} GROUP BY ALL)
+SELECT * FROM i UNION ALL SELECT video_id, category_id, row_number() OVER (ORDER BY pair_no, video_id, category_id) + (SELECT count(*) FROM i) FROM p ANTI JOIN s USING (video_id, category_id)""",
+)
+def with_negatives(g: DataFrame, p: DataFrame) -> DataFrame:
+    pairs = g.select("video_id", "category_id", (F.col("track_id") * 7 % 5).alias("pair_no"))
+    return t.remap_video_category(g.where("track_id % 4 <> 0"), p.where("score > 0.5"), pairs)
 
 
 @query("k2_confirm_tracks_stream", "fx_track_frames", "fx_pred_frames")

@@ -266,3 +266,44 @@ def test_mask_scores_against_pixels(spark):
     assert out.cgf1 == pytest.approx(out.positive_macro_f1 * out.il_mcc)
     empty = mq.cgf1_extended(g.limit(0), d.limit(0), images, F.lit(radius)).where("threshold = 0.5").first()
     assert empty.il_tn == 50 and empty.j == 0 and empty.positive_macro_f1 is None
+
+
+def test_association_modes_against_brute_force(spark):
+    from arrowlake.operators import tracks as tr
+
+    rng = random.Random(21)
+    tracks, dets = [], []
+    for frame in range(30):
+        for k in range(rng.randint(0, 4)):
+            x = rng.randint(0, 12)
+            tracks.append((1, frame, k, float(x), 0.0, float(x + (0 if rng.random() < 0.15 else 10)), 10.0))
+        for k in range(rng.randint(0, 4)):
+            x = rng.randint(0, 12)
+            dets.append((1, frame, 100 + k, rng.choice([0.1, 0.5, 0.9]), float(x), 0.0, float(x + 10), 10.0))
+    corners = "x1 double, y1 double, x2 double, y2 double"
+    t = spark.createDataFrame(tracks, f"video_id long, frame long, track_id long, {corners}")
+    d = spark.createDataFrame(dets, f"video_id long, frame long, det_id long, score double, {corners}")
+    size = lambda b: (b[0], b[1], b[2] - b[0], b[3] - b[1])
+    for once in (False, True):
+        want = set()
+        for frame in range(30):
+            own, seen = [x for x in tracks if x[1] == frame], [x for x in dets if x[1] == frame]
+            some = [x for x in own if x[5] > x[3]]
+            sim = np.array([[iou(size(a[3:]), size(b[4:])) for b in seen] for a in some]).reshape(len(some), len(seen))
+            want |= {(frame, "empty", x[2], None) for x in own if x not in some}
+            want |= {(frame, "matched", a[2], b[2]) for i, a in enumerate(some) for j, b in enumerate(seen) if sim[i, j] >= 0.5}
+            fresh = {j for j, b in enumerate(seen) if (b[3] >= 0.3 or not own) and not (sim[:, j] >= 0.5).any()}
+            want |= {(frame, "new", None, seen[j][2]) for j in fresh}
+            hit = {i for i, j in assign(sim) if sim[i, j] >= 0.6} if once else {i for i in range(len(some)) if (sim[i] >= 0.6).any()}
+            want |= {(frame, "unmatched", a[2], None) for i, a in enumerate(some) if i not in hit}
+            sure = {}
+            for j, b in enumerate(seen):
+                if len(some) and b[3] >= 0.8 and sim[:, j].max() >= 0.8 and j not in fresh:
+                    sure[some[int(sim[:, j].argmax())][2]] = b[2]
+            want |= {(frame, "sure", k, v) for k, v in sure.items()}
+        got = {(r.frame, r.what, r.track_id, r.det_id) for r in tr.associate(t, d, ["video_id", "frame"], 0.5, 0.6, 0.3, once).collect()}
+        if once:  # of equally good assignments any may be taken
+            loose = {x for x in got ^ want if x[1] == "unmatched"}
+            assert got ^ want == loose and len({x for x in got if x[1] == "unmatched"}) == len({x for x in want if x[1] == "unmatched"})
+        else:
+            assert got == want
