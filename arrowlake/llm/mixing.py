@@ -3,7 +3,7 @@
 Token counts are summed to cells (source, language, topic). Raking scales the cells until their sums over each
 dimension meet the target marginals; each document is then kept with its cell's calibrated probability, decided
 by a hash of the document, so that a rerun or a lost executor gives the same sample. Topics are given by a column, or
-are the nearest of a few centres, which spherical k-means finds among the hashed word weights of a bounded sample.
+are the nearest of a few centres, which spherical k-means finds among the hashed word weights of all texts.
 """
 
 from __future__ import annotations
@@ -16,47 +16,81 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.materialize import checkpointed
+from ..plans.materialize import checkpointed, written
 from .hashing import WordHasher, blocks, mix, raw_texts
 
-TOPICS, TOPIC_SAMPLE, TOPIC_DIM, TOPIC_ROUNDS, TOPIC_STARTS, ROWS_AT_ONCE = 16, 2000, 1 << 10, 15, 5, 1024
+TOPICS, TOPIC_DIM, TOPIC_ROUNDS, TOPIC_STARTS, ROWS_AT_ONCE = 16, 1 << 10, 15, 5, 512
+#: Unit vectors are rounded to whole numbers at this scale: products of two stay below 2^24 and their sums are whole,
+#: so that no order of rows, batches or tasks changes a topic.
+UNIT = 4000
+SEED_DRAWS, ENOUGH_GAIN = 4, 1e-4
+COUNTED = np.dtype([("slot", "<u2"), ("log", "<f2")])
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 #: A cell table of up to so many rows is raked in the driver and broadcast; a larger one is raked and joined by shuffles.
 BROADCAST_CELLS = 100_000
 
 
-def word_counts(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Log counts of hashed words, one row a text."""
-    rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    slots = rows * TOPIC_DIM + (mix(words) % np.uint64(TOPIC_DIM)).astype(np.int64)
-    return np.log1p(np.bincount(slots, minlength=(len(first) - 1) * TOPIC_DIM).reshape(-1, TOPIC_DIM).astype(np.float32))
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
-def fit_topics(counts: np.ndarray, topics: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weight of each word slot, centres): spherical k-means on tf-idf, the best of a few starts at far-apart texts."""
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + np.float32(0.01)
-    x = unit(counts * idf)
+def word_counts(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, ends): slot and log count of each text's hashed words, by text and slot, and where each text's begin and end."""
+    entries, ends = [np.zeros(0, COUNTED)], [np.zeros(1, np.int64)]
+    for lo in range(0, len(first) - 1, ROWS_AT_ONCE):
+        at = first[lo : lo + ROWS_AT_ONCE + 1]
+        rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        slots = rows * TOPIC_DIM + (mix(words[at[0] : at[-1]]) % np.uint64(TOPIC_DIM)).astype(np.int64)
+        counts = np.bincount(slots, minlength=(len(at) - 1) * TOPIC_DIM)
+        some = np.flatnonzero(counts)
+        part = np.empty(len(some), COUNTED)
+        part["slot"], part["log"] = some % TOPIC_DIM, np.log1p(counts[some])
+        entries.append(part)
+        ends.append(ends[-1][-1] + np.searchsorted(some, TOPIC_DIM * np.arange(1, len(at))))
+    return np.concatenate(entries), np.concatenate(ends)
+
+
+def whole_units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, rounded to whole numbers at the scale ``UNIT``."""
+    return np.rint(x * (UNIT / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12))).astype(np.float32)
+
+
+def vectors(entries: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> Iterator[np.ndarray]:
+    """Whole unit vectors of tf-idf, a block of texts at a time."""
+    for lo in range(0, len(ends) - 1, ROWS_AT_ONCE):
+        at = ends[lo : lo + ROWS_AT_ONCE + 1]
+        part = entries[at[0] : at[-1]]
+        n, slot = len(at) - 1, part["slot"].astype(np.int64)
+        row, value = np.repeat(np.arange(n), np.diff(at)), part["log"].astype(np.float32) * idf[slot]
+        size = np.sqrt(np.bincount(row, np.square(value), n))
+        x = np.zeros((n, TOPIC_DIM), np.float32)
+        x.reshape(-1)[row * TOPIC_DIM + slot] = np.rint(value * (UNIT / np.maximum(size, 1e-12))[row])
+        yield x
+
+
+def apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """1 - cosine of each row and its nearest centre."""
+    size = np.sqrt(np.square(x, dtype=np.float64).sum(1)[:, None] * np.square(centres, dtype=np.float64).sum(1)[None])
+    away = (1 - (x @ centres.T) / np.maximum(size, 1e-12)).min(1)
+    return np.where(away > 1e-6, away, 0.0)
+
+
+def first_centres(x: np.ndarray, weight: np.ndarray, topics: int) -> np.ndarray:
+    """Spherical k-means of weighted vectors, the best of a few starts at far-apart ones."""
     best, found = -1.0, x[:1]
     for seed in range(TOPIC_STARTS):
         rng = np.random.default_rng(seed)
-        centres = x[rng.integers(len(x))][None]
+        centres = x[rng.choice(len(x), p=weight / weight.sum())][None]
         while len(centres) < min(topics, len(x)):
-            away = np.clip(1 - (x @ centres.T).max(1), 0, None).astype(np.float64)
-            if away.sum() <= 1e-6:
+            away = weight * apart(x, centres)
+            if not away.any():
                 break
             centres = np.vstack([centres, x[rng.choice(len(x), p=away / away.sum())]])
         for _ in range(TOPIC_ROUNDS):
             nearest = (x @ centres.T).argmax(1)
-            centres = unit(np.stack([x[nearest == c].sum(0) if (nearest == c).any() else centres[c] for c in range(len(centres))]))
-        fit = float((x @ centres.T).max(1).sum())
+            sums = np.stack([weight[nearest == c] @ x[nearest == c] for c in range(len(centres))])
+            centres = np.where(sums.any(1, keepdims=True), whole_units(sums), centres)
+        fit = float((x @ centres.T).max(1) @ weight)
         if fit > best:
             best, found = fit, centres
-    return idf, found
+    return found
 
 
 def _counted():
@@ -64,10 +98,70 @@ def _counted():
         hasher = WordHasher()
         for batch in batches:
             data, offsets = raw_texts(batch.column("text"))
-            for _, _, part, at in blocks(data, offsets):
+            for i, j, part, at in blocks(data, offsets):
                 words, _, _, first = hasher.words(part, at)
-                rows = [word_counts(words[a:b], np.array([0, b - a]))[0].astype(np.float16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["x"])
+                entries, ends = word_counts(words, first)
+                x = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(COUNTED.itemsize * ends), pa.py_buffer(entries)])
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), x.cast(pa.binary())], names=["key", "x"])
+
+    return run
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = raw_texts(batch.column("x"))
+    return data[offsets[0] : offsets[-1]].view(COUNTED), (offsets - offsets[0]) // COUNTED.itemsize
+
+
+def _in_texts():
+    """Of each task: the number of texts with a word in each slot, and under the slot ``TOPIC_DIM`` that of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(TOPIC_DIM + 1, np.int64)
+        for batch in batches:
+            held[:-1] += np.bincount(_entries(batch)[0]["slot"], minlength=TOPIC_DIM)
+            held[-1] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(held)], names=["slot", "n"])
+
+    return run
+
+
+def _drawn(idf: np.ndarray, centres: np.ndarray, draw: int, most: int):
+    """Of each task: the ``most`` distinct texts that come first, each at a rate of its distance from the nearest centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[float, int, bytes]] = {}
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            part = [apart(x, centres) if len(centres) else np.ones(len(x)) for x in vectors(*_entries(batch), idf)]
+            rate = np.concatenate(part) if part else np.zeros(0)
+            luck = ((mix(key.view(np.uint64) ^ mix(np.array([draw + 1], np.uint64))) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+            order = np.divide(-np.log(luck), rate, out=np.full(len(rate), np.inf), where=rate > 0)
+            _, one = np.unique(key, return_index=True)
+            one = one[np.isfinite(order[one])]
+            for i in one[np.argsort(order[one], kind="stable")][:most].tolist():
+                best[int(key[i])] = (float(order[i]), int(key[i]), batch.column("x")[i].as_py())
+            best = {k[1]: k for k in sorted(best.values())[:most]}
+        rows = list(zip(*best.values(), strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.float64(), pa.int64(), pa.binary()), strict=True)], names=["order", "key", "x"])
+
+    return run
+
+
+def _summed(idf: np.ndarray, centres: np.ndarray):
+    """Of each task: the sum of the vectors nearest to each centre; under two more slots their number and their likeness."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(centres), TOPIC_DIM + 2), np.int64)
+        for batch in batches:
+            for x in vectors(*_entries(batch), idf):
+                likeness = x @ centres.T
+                nearest = likeness.argmax(1)
+                own = (nearest == np.arange(len(centres))[:, None]).astype(np.float32)
+                total[:, :TOPIC_DIM] += (own @ x).astype(np.int64)
+                total[:, TOPIC_DIM] += np.bincount(nearest, minlength=len(centres))
+                total[:, TOPIC_DIM + 1] += np.bincount(nearest, likeness.max(1), len(centres)).astype(np.int64)
+        topic, slot = total.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(slot), pa.array(total[topic, slot])], names=["topic", "slot", "n"])
 
     return run
 
@@ -77,40 +171,62 @@ def _described(topics: int, model):
 
     def nearest(words: np.ndarray, first: np.ndarray) -> np.ndarray:
         idf, centres = model.value
-        out = np.full(len(first) - 1, topics, np.int64)
-        for lo in range(0, len(out), ROWS_AT_ONCE):
-            at = first[lo : lo + ROWS_AT_ONCE + 1]
-            counts = word_counts(words[at[0] : at[-1]], at - at[0])
-            likeness = unit(counts * idf) @ centres.T
-            some = np.diff(at) > 0
-            out[lo : lo + len(at) - 1][some] = likeness.round(4)[some].argmax(1)
-        return out
+        found = np.concatenate([(x @ centres.T).argmax(1) for x in vectors(*word_counts(words, first), idf)])
+        return np.where(np.diff(first) > 0, found, topics)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("tokens long, topic long")
+    def described(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = WordHasher()
-        for batch in batches:
-            data, offsets = raw_texts(batch.column(batch.num_columns - 1))
+        for text in texts:
+            data, offsets = raw_texts(text)
             tokens, topic = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, part, at in blocks(data, offsets):
                 words, _, _, first = hasher.words(part, at)
                 tokens.append(np.diff(first))
                 topic.append(nearest(words, first) if model is not None else np.full(len(first) - 1, topics))
-            new = [pa.array(np.concatenate(tokens), pa.int64()), pa.array(np.concatenate(topic), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *new], names=[*batch.schema.names[:-1], "tokens", "topic"])
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(tokens), pa.int64()), pa.array(np.concatenate(topic), pa.int64())], names=["tokens", "topic"])
+
+    return described
 
-    return run
 
+def topic_model(texts: DataFrame, topics: int = TOPICS) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of each word slot, centres): spherical k-means on tf-idf over every row of the one column ``text``.
 
-def topic_model(texts: DataFrame, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Centres fitted on ``sample`` distinct texts of the one column ``text``, those of the smallest hash."""
-    keyed = texts.select(F.xxhash64("text").alias("key"), "text").where("text IS NOT NULL")
-    distinct = keyed.agg(F.approx_count_distinct("key")).first()[0]
-    bound = min((1 << 63) - 1, int(min(1.0, 2 * sample / max(distinct, 1)) * (1 << 64)) - (1 << 63))
-    drawn = keyed.where(F.col("key") <= bound).dropDuplicates(["key"]).orderBy("key").limit(sample).select("text")
-    rows = sorted(bytes(r.x) for r in drawn.mapInArrow(_counted(), "x binary").collect())
-    if not rows:
-        return np.zeros(TOPIC_DIM, np.float32), np.zeros((1, TOPIC_DIM), np.float32)
-    return fit_topics(np.stack([np.frombuffer(r, np.float16) for r in rows]).astype(np.float32), topics)
+    Frequencies are counted over all texts with words. Far-apart texts are drawn from all in a few passes, by a hash and at
+    rates of their distances from those drawn before, and weighted by the texts that they are nearest to; their own
+    clusters are the first centres. Each round then assigns all texts and sums all their vectors, until the likeness
+    gains less than ``ENOUGH_GAIN`` of itself, or for ``TOPIC_ROUNDS``. A row counts as often as it occurs.
+    """
+    keyed = texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.xxhash64("text").alias("key"), "text")
+    counted = written(keyed.mapInArrow(_counted(), "key long, x binary"))
+    held = np.zeros(TOPIC_DIM + 1)
+    for r in counted.mapInArrow(_in_texts(), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        held[r.slot] = r.n
+    idf, centres = np.log((1 + held[-1]) / (1 + held[:-1])) + 0.01, np.zeros((0, TOPIC_DIM), np.float32)
+    if not held[-1]:
+        return idf, np.zeros((1, TOPIC_DIM), np.float32)
+    for draw in range(SEED_DRAWS):
+        rows = counted.mapInArrow(_drawn(idf, centres, draw, 2 * topics), "order double, key long, x binary")
+        drawn = rows.dropDuplicates(["key"]).orderBy("order", "key").limit(2 * topics).select("x").collect()
+        entries = [np.frombuffer(r.x, COUNTED) for r in drawn]
+        ends = np.cumsum([0, *map(len, entries)])
+        centres = np.vstack([centres, *vectors(np.concatenate(entries), ends, idf)]) if drawn else centres
+
+    def sums(centres: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(centres), TOPIC_DIM + 2))
+        added = counted.mapInArrow(_summed(idf, centres), "topic long, slot long, n long").groupBy("topic", "slot").agg(F.sum("n").alias("n")).toPandas()
+        total[added.topic, added.slot] = added.n
+        return total
+
+    centres, fit = first_centres(centres, sums(centres)[:, TOPIC_DIM], topics), 0.0
+    for _ in range(TOPIC_ROUNDS):
+        total = sums(centres)
+        new = total[:, TOPIC_DIM + 1].sum()
+        centres = np.where(total[:, [TOPIC_DIM]] > 0, whole_units(total[:, :TOPIC_DIM]), centres)
+        if new <= fit * (1 + ENOUGH_GAIN):
+            break
+        fit = new
+    return idf, centres
 
 
 def describe(
@@ -128,12 +244,12 @@ def describe(
         whole.alias("doc"),
         *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NONE)).alias(n) for c, n in ((source_col, "source"), (lang_col, "lang"))],
         *given,
-        F.col(f"`{text_col}`").cast("string").alias("text"),
+        F.explode(F.array(F.col(f"`{text_col}`").cast("string"))).alias("text"),  # a column: Spark takes no lambdas in a function's argument
     )
     model = None if given else docs.sparkSession.sparkContext.broadcast(topic_model(rows.select("text"), topics))
-    kind = f"doc {rows.schema['doc'].dataType.simpleString()}, source string, lang string, {'given long, ' if given else ''}tokens long, topic long"
-    out = rows.mapInArrow(_described(topics, model), kind)
-    return out.withColumn("topic", F.col("given")).drop("given") if given else out
+    rows = rows.withColumn("found", _described(topics, model)(F.col("text")))
+    topic = F.col("given") if given else F.col("found.topic")
+    return rows.select("doc", "source", "lang", F.col("found.tokens").alias("tokens"), topic.alias("topic"))
 
 
 def tempered(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:

@@ -49,3 +49,21 @@ def test_fitted_topics_follow_the_subjects(spark):
     assert right > 0.95 * len(told) and told.groupby("topic").subject.agg(lambda x: x.value_counts(normalize=True).iloc[0]).min() > 0.9
     assert out[out.doc_id.isna()].tokens.tolist() == [60_000]
     assert mixing.describe(docs.limit(0)).count() == 0
+
+
+def test_topics_are_fitted_on_every_text(spark):
+    texts = [row[1] for row in corpus(random.Random(6), 3000)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None, " \n"]], "text string")
+    idf, centres = mixing.topic_model(docs, 5)
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in data])])
+    words, _, _, first = mixing.WordHasher().words(np.frombuffer(b"".join(data), np.uint8), offsets)
+    entries, ends = mixing.word_counts(words, first)
+    assert np.array_equal(idf, np.log((1 + len(texts)) / (1 + np.bincount(entries["slot"], minlength=mixing.TOPIC_DIM))) + 0.01)
+    x = np.concatenate(list(mixing.vectors(entries, ends, idf)))
+    nearest = (x @ centres.T).argmax(1)
+    again = np.stack([x[nearest == c].sum(0, dtype=np.float64) for c in range(5)])
+    likeness = (again * centres).sum(1) / np.linalg.norm(again, axis=1) / np.linalg.norm(centres, axis=1)
+    assert likeness.min() > 0.999  # each centre is that of all the texts nearest to it
+    other = mixing.topic_model(docs.repartition(7), 5)
+    assert np.array_equal(other[0], idf) and np.array_equal(other[1], centres)
