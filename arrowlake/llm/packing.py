@@ -114,9 +114,10 @@ class WordEncoder:
         self._tokenizer, self._most = tokenizer, most
         self._words = Tokenizer.from_str(tokenizer.to_str())  # for words that are split and lower-cased already
         self._words.normalizer = normalizers.Sequence([])
-        self._words.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the byte-level form of each Latin-1 character is looked up here, so that the tokeniser need not make it of each word
+        self._forms = {c: "".join(x for x, _ in as_bytes.pre_tokenize_str(chr(c))) for c in range(256) if c != ord(" ")}
+        self._words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         vocabulary = tokenizer.get_vocab()
         self._last = np.zeros(max(vocabulary.values()) + 1, bool)
         self._last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -131,35 +132,38 @@ class WordEncoder:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        joined = b" ".join(words).decode("latin-1")
+        joined = b" ".join(words).decode("latin-1").translate(self._forms)
         ids = np.array(self._words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self._last[ids]) + 1
         if len(ends) != len(words):  # not a vocabulary with word ends
-            each = [self._words.encode(w.decode("latin-1"), add_special_tokens=False).ids for w in words]
+            each = [self._words.encode(w, add_special_tokens=False).ids for w in joined.split(" ")]
             ids, ends = np.array(sum(each, []), np.uint32), np.cumsum([len(x) for x in each])
-        for w in words:
-            self._place[w] = len(self._place)
+        self._place.update(zip(words, range(len(self._place), len(self._place) + len(words)), strict=True))
         self._first = np.concatenate([self._first, len(self._ids) + ends])
         self._ids = np.concatenate([self._ids, ids])
 
     def _block(self, texts: list[bytes]) -> list[bytes]:
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        raw = b"\n".join(texts) + b"\n"
+        data = np.frombuffer(raw, np.uint8)
         starts, ends = split_words(data)
         which, example = number_words(data, starts, ends)
         if len(self._place) + len(example) > self._most:
             self._forget()
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(starts[example], ends[example], strict=True)]
-        unknown = [w for w in words if w not in self._place]
+        words = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
+        known = list(map(self._place.get, words))
+        unknown = [w for w, at in zip(words, known, strict=True) if at is None]
         if unknown:
+            new = len(self._place)
             self._learn(unknown)
-        place = np.array([self._place[w] for w in words], np.int64)[which] if words else np.zeros(0, np.int64)
+            known = np.array([-1 if at is None else at for at in known], np.int64)
+            known[known < 0] = np.arange(new, len(self._place))
+        place = np.array(known, np.int64)[which] if words else np.zeros(0, np.int64)
         n = self._first[place + 1] - self._first[place]
         stop = np.concatenate([[0], np.cumsum(n)])
         ids = self._ids[np.repeat(self._first[place] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
         text_ends = np.cumsum([len(t) + 1 for t in texts])
         cuts = 4 * np.concatenate([[0], stop[np.searchsorted(starts, text_ends)]])
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def _by_blanks(self, text: str) -> bytes:
         cuts = [c for c in re.split("[ \t\r\n]+", text) if c]
@@ -221,28 +225,42 @@ def _pieces(tokenizer: str, end_id: int, window: int, cut: int):
 
 
 def differencing(sizes: np.ndarray, windows: int) -> list[list[int]]:
-    """Karmarkar-Karp: the members of ``windows`` near-equal windows."""
+    """Karmarkar-Karp: the members of ``windows`` near-equal windows.
+
+    A merge keeps only its order of windows; members are found by following the orders back from the last merge.
+    """
+    if not len(sizes):
+        return [[] for _ in range(windows)]
+    kind = np.int16 if sizes.max() < 1 << 14 else np.int64  # no sum is above twice the largest size
     heap = []
-    for i, x in enumerate(sizes):  # sums in rising order, over a common base
-        sums = np.zeros(windows, np.int64)
+    for i, x in enumerate(sizes.tolist()):  # sums in rising order, over a common base
+        sums = np.zeros(windows, kind)
         sums[-1] = x
-        heap.append((-int(x), i, sums, {windows - 1: [i]}))
+        heap.append((-x, i, sums, i))
     heapq.heapify(heap)
+    merges = []
     while len(heap) > 1:
         _, i, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
+        _, _, b, in_b = heap[0]
         sums = a + b[::-1]
-        order = np.argsort(sums, kind="stable")
-        place = np.empty(windows, np.int64)
-        place[order] = np.arange(windows)
-        merged: dict[int, list[int]] = {int(place[w]): m for w, m in in_a.items()}
-        for w, m in in_b.items():
-            merged.setdefault(int(place[windows - 1 - w]), []).extend(m)
+        order = sums.argsort(kind="stable")
         sums = sums[order]
         sums -= sums[0]
-        heapq.heappush(heap, (-int(sums[-1]), i, sums, merged))
-    members = heap[0][3] if heap else {}
-    return [members.get(w, []) for w in range(windows)]
+        merges.append((order.astype(np.int32), in_a, in_b))
+        heapq.heapreplace(heap, (-int(sums[-1]), i, sums, len(sizes) + len(merges) - 1))
+    place: list[np.ndarray | None] = [None] * (len(sizes) + len(merges))
+    place[-1] = np.arange(windows)
+    for at in range(len(merges) - 1, -1, -1):
+        order, in_a, in_b = merges[at]
+        own, place[len(sizes) + at] = place[len(sizes) + at], None
+        place[in_a] = np.empty(windows, np.int64)
+        place[in_a][order] = own
+        place[in_b] = place[in_a][::-1]
+    members: list[list[int]] = [[] for _ in range(windows)]
+    for i in range(len(sizes)):
+        members[place[i][-1]].append(i)
+        place[i] = None
+    return members
 
 
 def _pack(window: int):
