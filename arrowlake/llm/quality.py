@@ -232,19 +232,18 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int =
 
 
 def _scored(weights: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = WordHasher()
-        for batch in batches:
-            data, offsets = raw_texts(batch.column("text"))
-            scores = []
+        for text in texts:
+            data, offsets = raw_texts(text)
+            scores = [np.zeros(0)]
             for _, _, part, at in _parts(data, offsets):
                 x = features(part, at, statistics(part, at, hasher))
                 scores.append(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -40, 40))))
-            score = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, score], names=[*batch.schema.names[:-1], "score"])
+            yield pa.array(np.concatenate(scores), pa.float64())
 
-    return run
+    return score
 
 
 def scored(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
@@ -268,11 +267,11 @@ def scored(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, thresh
         x = np.stack([np.frombuffer(r.x, np.float16) for r in drawn]).astype(np.float32)
         weights = fit_scorer(x, np.array([posterior.get(r.pattern, 0.5) for r in drawn]))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("doc"), text.alias("text"))
-    kind = rows.schema["doc"].dataType.simpleString()
-    known = F.coalesce(F.col(f"doc.`{text_col}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    score = F.when(known, F.col("score")).otherwise(0.0)
-    return rows.mapInArrow(_scored(weights), f"doc {kind}, score double").select("doc", score.alias("quality_score"), (score >= threshold).alias("quality_keep"))
+    # the text alone goes to Python, as a column: Spark takes no lambdas in a function's argument
+    rows = docs.select(whole.alias("doc"), F.explode(F.array(text)).alias("text"))
+    known = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = rows.withColumn("score", _scored(weights)(F.col("text"))).withColumn("score", F.when(known, F.col("score")).otherwise(0.0))
+    return rows.select("doc", F.col("score").alias("quality_score"), (F.col("score") >= threshold).alias("quality_keep"))
 
 
 def quality_scores(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
