@@ -36,6 +36,8 @@ KIND[[*range(48, 58), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = DIGIT
 KIND[[*range(9, 14), 32, 0x85, 0xA0]] = SPACE
 ENDINGS = [b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"]
 PACKED = 4  # a word of up to so many times eight bytes is compared as integers
+SHORT = 15  # a word of up to so many bytes and its size are two integers
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def load_tokenizer(name: str):
@@ -66,16 +68,19 @@ def split_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[:-1][word], edges[1:][word]
 
 
-def number_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def every_eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as an integer; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8 * PACKED, np.uint8)])
+    return np.ndarray(len(data) + 8 * (PACKED - 1) + 1, "<u8", padded.data, strides=(1,))
+
+
+def number_words(data: np.ndarray, eights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which, example): words[i] equals words[example[which[i]]], and examples are distinct."""
     size = ends - starts
-    padded = np.concatenate([data, np.zeros(8 * PACKED, np.uint8)])
-    eights = np.ndarray(len(data) + 8 * (PACKED - 1) + 1, "<u8", padded.data, strides=(1,))
-    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
     parts, key = [], size.astype(np.uint64)
     for k in range(PACKED):
         at = np.arange(len(size)) if k == 0 else np.flatnonzero(size > 8 * k)
-        value = eights[starts[at] + 8 * k] & masks[np.minimum(size[at] - 8 * k, 8)]
+        value = eights[starts[at] + 8 * k] & MASKS[np.minimum(size[at] - 8 * k, 8)]
         key[at] = mix(key[at] * STEP + value)
         parts.append((at, value))
     raw, seen, long = data.tobytes(), {}, np.flatnonzero(size > 8 * PACKED)
@@ -100,6 +105,43 @@ def number_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     return which, example
 
 
+class ShortWords:
+    """Places of words of at most ``SHORT`` bytes, as rows of a word's two integers and its place: each lies in the first
+    free row from its hash on. A row whose second integer is 0 is free."""
+
+    def __init__(self, slots: int = 1 << 16) -> None:
+        self._rows, self._held = np.zeros((slots, 3), np.uint64), 0
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(low * STEP + high) & np.uint64(len(self._rows) - 1)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 if it isn't held."""
+        place, todo, at = np.full(len(low), -1, np.int64), np.arange(len(low)), self._slot(low, high)
+        while len(todo):
+            rows = np.take(self._rows, at, axis=0)
+            here = (rows[:, 0] == low) & (rows[:, 1] == high) & (high != 0)
+            place[todo[here]] = rows[here, 2].astype(np.int64)
+            on = np.flatnonzero(~here & (rows[:, 1] != 0))
+            todo, at, low, high = todo[on], (at[on] + 1) & (len(self._rows) - 1), low[on], high[on]
+        return place
+
+    def add(self, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> None:
+        """Distinct words that aren't held, and their places."""
+        self._held += len(low)
+        if 2 * self._held > len(self._rows):
+            old = self._rows[self._rows[:, 1] != 0]
+            self._rows = np.zeros((1 << (2 * self._held).bit_length(), 3), np.uint64)
+            low, high, place = (np.concatenate([old[:, k], x.astype(np.uint64)]) for k, x in enumerate((low, high, place)))
+        new = np.stack([low, high, place.astype(np.uint64)], axis=1)
+        at = self._slot(low, high)
+        while len(new):
+            free = np.flatnonzero(self._rows[at, 1] == 0)
+            self._rows[at[free]] = new[free]  # of several for one slot, the last stays
+            left = np.flatnonzero((self._rows[at, 0] != new[:, 0]) | (self._rows[at, 1] != new[:, 1]))
+            new, at = new[left], (at[left] + 1) & (len(self._rows) - 1)
+
+
 class WordEncoder:
     """Ids of whole texts, remembering those of the words met so far.
 
@@ -109,55 +151,63 @@ class WordEncoder:
     """
 
     def __init__(self, tokenizer, most: int = CACHED_WORDS) -> None:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        self._tokenizer, self._most = tokenizer, most
-        self._words = Tokenizer.from_str(tokenizer.to_str())  # for words that are split and lower-cased already
-        self._words.normalizer = normalizers.Sequence([])
+        self._tokenizer, self._model, self._most = tokenizer, tokenizer.model, most
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        # the byte-level form of each Latin-1 character is looked up here, so that the tokeniser need not make it of each word
-        self._forms = {c: "".join(x for x, _ in as_bytes.pre_tokenize_str(chr(c))) for c in range(256) if c != ord(" ")}
-        self._words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        vocabulary = tokenizer.get_vocab()
-        self._last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        # the byte-level form of each Latin-1 character, one or two characters, is looked up here
+        self._forms = np.zeros((256, 2), "<u4")
+        for c in set(range(256)) - {ord(" ")}:
+            form = [ord(x) for part, _ in as_bytes.pre_tokenize_str(chr(c)) for x in part]
+            self._forms[c, : len(form)] = form
+        self._forms[ord(" "), 0] = ord(" ")  # stays, between words
         self._forget()
 
     def _forget(self) -> None:
-        self._place: dict[bytes, int] = {}
+        self._short, self._long = ShortWords(), {}
         self._cuts: dict[str, bytes] = {}
         self._ids, self._first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        joined = b" ".join(words).decode("latin-1").translate(self._forms)
-        ids = np.array(self._words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(self._last[ids]) + 1
-        if len(ends) != len(words):  # not a vocabulary with word ends
-            each = [self._words.encode(w, add_special_tokens=False).ids for w in joined.split(" ")]
-            ids, ends = np.array(sum(each, []), np.uint32), np.cumsum([len(x) for x in each])
-        self._place.update(zip(words, range(len(self._place), len(self._place) + len(words)), strict=True))
-        self._first = np.concatenate([self._first, len(self._ids) + ends])
-        self._ids = np.concatenate([self._ids, ids])
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Places of words not known so far."""
+        forms = self._forms[np.frombuffer(b" ".join(words), np.uint8)].reshape(-1)
+        ids, ends, tokenize = array("I"), [], self._model.tokenize
+        for word in forms[forms > 0].tobytes().decode("utf-32-le").split(" "):
+            ids.extend([t.id for t in tokenize(word)])
+            ends.append(len(ids))
+        new = len(self._first) - 1 + np.arange(len(words))
+        self._first = np.concatenate([self._first, len(self._ids) + np.array(ends, np.int64)])
+        self._ids = np.concatenate([self._ids, np.frombuffer(ids, np.uint32)])
+        return new
 
     def _block(self, texts: list[bytes]) -> list[bytes]:
         raw = b"\n".join(texts) + b"\n"
         data = np.frombuffer(raw, np.uint8)
         starts, ends = split_words(data)
-        which, example = number_words(data, starts, ends)
-        if len(self._place) + len(example) > self._most:
+        eights, size = every_eight(data), ends - starts
+        low = eights[starts] & MASKS[np.minimum(size, 8)]
+        high = eights[starts + 8] & MASKS[np.clip(size - 8, 0, 7)] | (size.astype(np.uint64) << np.uint64(56))
+        high[size > SHORT] = 0  # never found
+        place = self._short.find(low, high)
+        rest = np.flatnonzero(place < 0)
+        which, example = number_words(data, eights, starts[rest], ends[rest])
+        if len(self._first) + len(example) > self._most and len(self._first) > 1:
             self._forget()
+            rest = np.arange(len(size))
+            which, example = number_words(data, eights, starts, ends)
+        example = rest[example]
         words = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
-        known = list(map(self._place.get, words))
-        unknown = [w for w, at in zip(words, known, strict=True) if at is None]
-        if unknown:
-            new = len(self._place)
-            self._learn(unknown)
-            known = np.array([-1 if at is None else at for at in known], np.int64)
-            known[known < 0] = np.arange(new, len(self._place))
-        place = np.array(known, np.int64)[which] if words else np.zeros(0, np.int64)
+        found = np.array([self._long.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self._learn([words[i] for i in new.tolist()])
+            short = new[size[example[new]] <= SHORT]
+            self._short.add(low[example[short]], high[example[short]], found[short])
+            self._long.update((words[i], int(found[i])) for i in new[size[example[new]] > SHORT].tolist())
+        place[rest] = found[which]
         n = self._first[place + 1] - self._first[place]
         stop = np.concatenate([[0], np.cumsum(n)])
         ids = self._ids[np.repeat(self._first[place] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
