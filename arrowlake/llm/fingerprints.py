@@ -88,14 +88,12 @@ def bucketed(rows: DataFrame, order: str, fine: str, bucket_rows: int) -> DataFr
     found = rows.agg(F.percentile_approx(order, [i / coarse for i in range(1, coarse)], 20 * coarse).alias("c")).first().c if coarse > 1 else []
     found = sorted(found or [])
     cuts = sorted(set(found))
-    place = F.lit(0)  # a binary search in the sorted cuts, one column a level
-    step = 1 << max(0, len(cuts).bit_length() - 1)
-    bounds = F.lit(cuts).cast("array<bigint>") if cuts else None
-    while cuts and step:
-        there = place + step
-        rows = rows.withColumn("coarse", F.when((there <= len(cuts)) & (F.get(bounds, there - 1) <= F.col(order)), there).otherwise(place))
-        place, step = F.col("coarse"), step // 2
-    rows = rows.withColumn("coarse", place.cast("int"))
+    bounds = F.lit(cuts).cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))]).cast("array<int>")
+    there = lambda place, step: (place + step <= len(cuts)) & (F.get(bounds, place + step - 1) <= F.col(order))
+    # a binary search in the sorted cuts, in one expression: the planner repeats a chain of columns in each that uses it
+    place = F.aggregate(steps, F.lit(0), lambda place, step: F.when(there(place, step), place + step).otherwise(place))
+    rows = rows.withColumn("coarse", place)
     each, at, ranges = n / coarse, 0, []
     for c in range(len(cuts) + 1):
         low, high = (cuts[c - 1] if c else None), (cuts[c] if c < len(cuts) else None)

@@ -63,3 +63,10 @@ def test_merged_sketches_are_those_of_the_union(spark):
     a, b = (" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(n)) for n in (300, 9))
     row = spark.range(1).select(P.merge_sketches(P.sketch(F.lit(a)), P.sketch(F.lit(b))).alias("m")).first()
     assert row.m == sorted({*plain_sketch(a), *plain_sketch(b)})
+
+
+def test_the_plan_does_not_grow_with_the_number_of_buckets(spark):
+    rows = spark.range(4000).select(F.col("id").alias("order"), F.xxhash64("id").alias("fine"))
+    placed = P.bucketed(rows, "order", "fine", 4)
+    assert len(placed._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert placed.select("bucket").distinct().count() > 900
