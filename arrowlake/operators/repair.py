@@ -8,16 +8,45 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import written
 from .fuzzy import candidates
 from .scoring import rate
 
+#: Words of a key that are compared with each of its texts; a key with more goes by signatures.
+MOST_WORDS = 50
+
 
 def snap_to_vocab(fields: DataFrame, vocab: DataFrame, key: str = "graph_id", text: str = "text", max_dist: int = 2, min_len: int = 0, reserved: tuple[str, ...] = ()) -> DataFrame:
     """``fields`` with ``snapped``: the unique closest word of its vocabulary (case aside, at most ``max_dist`` edits).
 
     A tie, or a word equal but for case, leaves the text as it is; so do reserved texts and those shorter than
-    ``min_len``. Only pairs that share a signature of ``fuzzy.candidates`` are compared.
+    ``min_len``. A key of at most ``MOST_WORDS`` words has them all compared in the row, which is less work than the
+    signatures of one text; larger vocabularies go by signatures.
     """
+    words = vocab.select(key, "word").where("word IS NOT NULL").repartition(key).distinct()
+    many = written(words.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > MOST_WORDS).select(key))
+    if many.isEmpty():
+        return _snapped_in_row(fields, words, key, text, max_dist, min_len, reserved)
+    few, rest = _snapped_in_row(fields.join(many, key, "left_anti"), words.join(many, key, "left_anti"), key, text, max_dist, min_len, reserved), fields.join(many, key, "left_semi")
+    return few.unionByName(_snapped_by_signature(rest, words.join(many, key, "left_semi"), key, text, max_dist, min_len, reserved))
+
+
+def _snapped_in_row(fields: DataFrame, words: DataFrame, key: str, text: str, max_dist: int, min_len: int, reserved: tuple[str, ...]) -> DataFrame:
+    """Each text beside its whole vocabulary, for vocabularies of at most ``MOST_WORDS``."""
+    held = words.groupBy(key).agg(F.collect_list("word").alias("words"))
+    known = F.transform("words", lambda w: F.struct(F.levenshtein(F.lower(text), F.lower(w), max_dist).alias("dist"), w.alias("word")))
+    near = F.array_sort(F.filter(known, lambda c: (c.dist >= 0) & (F.abs(F.length(text) - F.length(c.word)) <= max_dist)))
+    asked = F.length(text) >= min_len
+    if reserved:
+        asked = asked & ~F.lower(text).isin(*reserved)
+    rows = fields.join(held, key, "left").withColumn("near", F.when(asked, near)).drop("words")
+    first, second = F.get("near", F.lit(0)), F.get("near", F.lit(1))
+    sure = (first.dist > 0) & (second.isNull() | (second.dist > first.dist))
+    return rows.withColumn("snapped", F.when(sure, first.word).otherwise(F.col(text))).drop("near")
+
+
+def _snapped_by_signature(fields: DataFrame, vocab: DataFrame, key: str, text: str, max_dist: int, min_len: int, reserved: tuple[str, ...]) -> DataFrame:
+    """The same for vocabularies of any size: only pairs that share a signature of ``fuzzy.candidates`` are compared."""
     asked = fields.select(key, text).distinct().where(F.length(text) >= min_len)
     if reserved:
         asked = asked.where(~F.lower(text).isin(*reserved))

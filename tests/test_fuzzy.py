@@ -88,3 +88,19 @@ def test_drawn_groups(spark):
     assert sorted(map(tuple, (r.ids for r in datasets.k_groups_combos(arrows.where("graph_id = 3"), 3, mul=-1).collect()))) == sorted(itertools.combinations(range(0, 70, 10), 3))
     again = {tuple(r.ids) for r in datasets.k_groups_combos(arrows.where("graph_id = 4").repartition(5), 3).collect()}
     assert again == set(out[4])
+
+
+def test_small_vocabularies_need_no_signatures(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abC") for _ in range(rng.randint(1, 7)))
+    words = [(k, word()) for k in range(6) for _ in range(4 if k else 90)] + [(7, None), (8, "abc")]
+    texts = [(k, word()) for k in range(8) for _ in range(40)] + [(8, None), (9, "abc")]
+    fields, vocab = spark.createDataFrame(texts, "graph_id int, text string"), spark.createDataFrame(words, "graph_id int, word string")
+    held = lambda df: sorted((r.graph_id, r.text or "-", r.snapped or "-") for r in df.collect())
+    mixed = held(repair.snap_to_vocab(fields, vocab, min_len=2, reserved=("aa",)))
+    monkeypatch.setattr(repair, "MOST_WORDS", 0)
+    assert mixed == held(repair.snap_to_vocab(fields, vocab, min_len=2, reserved=("aa",)))
+    monkeypatch.undo()
+    few, none = fields.where("graph_id > 0"), vocab.where("graph_id > 0")
+    monkeypatch.setattr(repair, "candidates", None)
+    assert held(repair.snap_to_vocab(few, none, min_len=2, reserved=("aa",))) == [x for x in mixed if x[0] > 0]
