@@ -96,3 +96,16 @@ def test_running_counts_of_one_hot_group(spark):
         total += r[3]
         assert got["hot", r[2]] == (total, n)
     assert got["small", 2] == (0, 1)
+
+
+def test_uncontested_pairs_stay_one_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    box = [(F.col("id") * 100.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("id") * 100.0 + 40).alias("x2"), F.lit(40.0).alias("y2")]
+    ids = spark.range(60)
+    gold = ids.select((F.col("id") % 7).alias("image_id"), F.lit(1).cast("long").alias("category_id"), F.col("id").alias("box_id"), *box)
+    dets = ids.select((F.col("id") % 7).alias("image_id"), F.lit(1).cast("long").alias("category_id"), F.col("id").alias("det_id"), (F.col("id") / 60).alias("score"), *box)
+    seen, fit = [], precision.first_fit
+    monkeypatch.setattr(precision, "first_fit", lambda pairs, *a: (seen.append(pairs.count()), fit(pairs, *a))[1])
+    out = {r.area: r.ap for r in precision.ap_summary(precision.box_ap(gold, dets)).collect()}
+    assert seen == [0] and abs(out["all"] - 1) < 1e-9 and abs(out["medium"] - 1) < 1e-9 and out["small"] == -1
