@@ -5,8 +5,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.boxes import CORNERS
 from ..operators import video as v
-from ..operators.spatial import pair_overlap
 from ..operators.tracks import cornered
 from ..plans.materialize import shared_folder
 from ..registry import ORACLE_SQL, query
@@ -56,11 +56,8 @@ def removed_stream(g: DataFrame) -> DataFrame:
 
 @query("k6_recently_occluded_stream", "fx_track_frames")
 def occluded(g: DataFrame) -> DataFrame:
-    frames = g.select("video_id", "frame", "track_id", ((F.col("frame") + F.col("track_id")) % 5 == 0).alias("empty"))
-    boxes = cornered(g)
-    near = pair_overlap(boxes, boxes, ["video_id", "frame"], ["iou"]).where("a.track_id < b.track_id AND iou >= 0.2")
-    rows = v.overlapping(frames, near.select("video_id", "frame", F.col("a.track_id").alias("one"), F.col("b.track_id").alias("two")))
-    rule = sv.RecentlyOccluded(1000)
+    rows = cornered(g).select("video_id", "frame", "track_id", ((F.col("frame") + F.col("track_id")) % 5 == 0).alias("empty"), *CORNERS)
+    rule = sv.RecentlyOccludedBoxes(1000, 0.2)
     return sv.replayed(timed(rows), lambda s: sv.over_frames(s, rule), rule.output)
 
 
