@@ -71,3 +71,12 @@ def test_occlusion_from_boxes_is_that_from_pairs(spark, monkeypatch):
     found = video.suppress_occluded_boxes(g, 0.2)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))
     assert found.where("suppressed").count()
+
+
+def test_association_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BLOCK", 2)
+    t, d = tracks.cornered(frames(spark, 7)), tracks.cornered(frames(spark, 8, ids=50, score=True)).withColumnRenamed("track_id", "det_id")
+    pairs = spatial.pair_overlap(t, d, ["video_id", "frame"], ["iou"]).where("iou >= 0.5").select("video_id", "frame", "a.track_id", "b.det_id")
+    assert not hasattr(tracks, "pair_overlap")
+    found = tracks.associate(t, d, ["video_id", "frame"])
+    assert sorted(map(tuple, found.where("what = 'matched'").drop("what").collect())) == sorted(map(tuple, pairs.collect()))
