@@ -1,18 +1,25 @@
 """Region and boundary quality of masks, and the image scores made of them. Masks are run-length coded over a
 column-major image; everything is arithmetic on runs, and no pixel is ever a row.
 
-A mask's runs are cut at the columns. Where several sets meet in a column (a mask and its neighbour column, a boundary
-and another's surroundings), each run puts an event at its start and one at its end, and running sums over the
-events of the column tell which sets cover each stretch between two events.
+A mask's runs are cut at the columns, and travel as arrays in its row. Where several sets meet in a column (a mask and its
+neighbour column, a boundary and another's surroundings), each run puts an event at its start and one at its end, and
+running sums over the events of the column tell which sets cover each stretch between two events; tasks do that for
+many masks at once by array arithmetic.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.materialize import written
+from . import mask_arrays as arrays
 from .assignment import assign_one_to_one
 from .detections import BOX_EPS, IMAGE_EPS, THRESHOLDS
 
@@ -54,15 +61,47 @@ def boundaries(columns: DataFrame, keys: list[str]) -> DataFrame:
     return swept(spread, by, ["some", "full"], (F.col("some") > 0) & (F.col("full") < 2))
 
 
-def surroundings(edge: DataFrame, keys: list[str], radius: Column) -> DataFrame:
-    """Runs grown by ``radius`` pixels each way (a square), clipped to the image; runs of a column may overlap."""
-    x = F.explode(F.sequence(F.greatest(F.col("x") - radius, F.lit(0)), F.least(F.col("x") + radius, F.col("width") - 1))).alias("x")
-    y1, y2 = F.greatest(F.col("y1") - radius, F.lit(0)), F.least(F.col("y2") + radius, F.col("height"))
-    return edge.select(*keys, x, y1.alias("y1"), y2.alias("y2"))
-
-
-def length(runs: DataFrame, by: list[str], name: str) -> DataFrame:
-    return runs.groupBy(*by).agg(F.sum(F.col("y2") - F.col("y1")).alias(name))
+def packed(columns: DataFrame, item: str, radius: Column | None = None) -> DataFrame:
+    """(image_id, item, ...): a mask a row, its column runs as arrays, with its area and extent."""
+    runs = F.collect_list(F.struct("x", "y1", "y2"))
+    ends = [F.min("x"), F.max("x"), F.min("y1"), F.max("y2"), F.sum(F.col("y2") - F.col("y1"))]
+    names = ["x_min", "x_max", "y_min", "y_max", "area"]
+    out = columns.groupBy("image_id", item).agg(runs.alias("runs"), F.first("height").alias("height"), F.first("width").alias("width"), *[c.alias(n) for c, n in zip(ends, names, strict=True)])
+    extra = [radius.cast("long").alias(f"{item}_radius")] if radius is not None else []
+    return out.select("image_id", item, *[F.col(f"runs.{c}").alias(f"{item}_{c}") for c in ("x", "y1", "y2")], *[F.col(c).alias(f"{item}_{c}") for c in ("height", "width", *names)], *extra)
+
+
+#: Runs that are worked on at once, surroundings included; a mask of more is one piece.
+AT_ONCE = 500_000
+
+
+def by_masks(rows: DataFrame, kept: list[str], name: str, value: Callable[[dict[str, np.ndarray], int], np.ndarray]) -> DataFrame:
+    """``kept`` columns of ``rows`` (``packed`` masks of both sides, or of one where the other is null) with ``name``: ``value`` of the flat
+    runs (owner, x, y1, y2) of each side and the columns by owner."""
+    schema = rows.select(*kept).schema.add(name, "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reach = np.ones(batch.num_rows, np.int64)
+            for side in ("g", "d"):
+                grown = 2 * pc.fill_null(batch.column(f"{side}_radius"), 0).to_numpy(zero_copy_only=False) + 1 if f"{side}_radius" in batch.schema.names else 1
+                reach = reach + pc.fill_null(pc.list_value_length(batch.column(f"{side}_x")), 0).to_numpy(zero_copy_only=False) * grown
+            piece, lo = (np.cumsum(reach) - reach) // AT_ONCE, 0
+            while lo < batch.num_rows:
+                hi = int(np.searchsorted(piece, piece[lo], "right"))
+                part, held = batch.slice(lo, hi - lo), {}
+                for side in ("g", "d"):
+                    n = pc.fill_null(pc.list_value_length(part.column(f"{side}_x")), 0).to_numpy(zero_copy_only=False)
+                    flat = [part.column(f"{side}_{c}").flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x", "y1", "y2")]
+                    held[side] = (np.repeat(np.arange(len(n)), n), *flat)
+                for c in part.schema.names:
+                    if c.endswith(("_height", "_width", "_area", "_radius")):
+                        held[c] = pc.fill_null(part.column(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                columns = [part.column(c) for c in kept] + [pa.array(value(held, part.num_rows), pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, name])
+                lo = hi
+
+    return rows.mapInArrow(run, schema)
 
 
 def boundary_radius(share: float = 0.008) -> Column:
@@ -73,36 +112,35 @@ def boundary_radius(share: float = 0.008) -> Column:
 def boundary_f(pairs: DataFrame, gold: DataFrame, found: DataFrame, radius: Column) -> DataFrame:
     """``pairs`` (image_id, g, d) with ``f``: the harmonic mean of the shares of each boundary near the other.
 
-    ``gold`` and ``found`` are column runs keyed by (image_id, g) and (image_id, d). A mask without a boundary gives
-    precision or recall 1 on its side, and 0 on the other if that one has a boundary.
+    ``gold`` and ``found`` are column runs keyed by (image_id, g) and (image_id, d); ``radius`` is of their height and width. A mask
+    without a boundary gives precision or recall 1 on its side, and 0 on the other if that one has a boundary. A mask travels as a row.
     """
-    pair = ["image_id", "g", "d"]
-    edges = {side: boundaries(df, ["image_id", side]) for side, df in (("g", gold), ("d", found))}
-    held = {side: written(pairs.select(*pair).join(e, ["image_id", side])) for side, e in edges.items()}
-    out = pairs
-    for side, other in (("g", "d"), ("d", "g")):
-        own = held[side].select(*pair, "x", "y1", "y2", F.lit(1).alias("own"), F.lit(0).alias("near"))
-        near = surroundings(held[other], pair, radius).select(*pair, "x", "y1", "y2", F.lit(0).alias("own"), F.lit(1).alias("near"))
-        met = swept(own.unionByName(near), [*pair, "x"], ["own", "near"], (F.col("own") > 0) & (F.col("near") > 0))
-        out = out.join(length(held[side], pair, f"n_{side}"), pair, "left").join(length(met, pair, f"near_{side}"), pair, "left")
-    out = out.fillna(0, ["n_g", "n_d", "near_g", "near_d"])
-
-    def share(side: str, other: str) -> Column:
-        n = F.col(f"n_{side}")
-        return F.when(n == 0, 1.0).when(F.col(f"n_{other}") == 0, 0.0).otherwise(F.col(f"near_{side}") / n)
-
-    precision, recall = share("d", "g"), share("g", "d")
-    f = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    return out.withColumn("f", f).drop("n_g", "n_d", "near_g", "near_d")
+    rows = pairs.join(packed(gold, "g", radius), ["image_id", "g"], "left").join(packed(found, "d", radius), ["image_id", "d"], "left")
+
+    def f(held: dict, owners: int) -> np.ndarray:
+        edges = {side: arrays.boundaries(*held[side], held[f"{side}_height"], held[f"{side}_width"]) for side in "gd"}
+        n = {side: arrays.sized(e, owners) for side, e in edges.items()}
+        share = {}
+        for side, other in (("g", "d"), ("d", "g")):
+            near = arrays.covered(edges[side], arrays.surroundings(*edges[other], held[f"{other}_height"], held[f"{other}_width"], held[f"{other}_radius"]), owners)
+            part = near / np.maximum(n[side], 1)
+            share[side] = np.where(n[side] == 0, 1.0, np.where(n[other] == 0, 0.0, part))
+        below = share["d"] + share["g"]
+        return np.divide(2 * share["d"] * share["g"], below, out=np.zeros(owners), where=below > 0)
+
+    return by_masks(rows, pairs.columns, "f", f)
 
 
 def mask_pairs(gold: DataFrame, found: DataFrame) -> DataFrame:
-    """(image_id, g, d, iou) of masks that share a pixel: column runs meet in their column."""
-    a, b = gold.select("image_id", "g", "x", "y1", "y2"), found.select("image_id", "d", "x", F.col("y1").alias("z1"), F.col("y2").alias("z2"))
-    met = a.join(b, ["image_id", "x"]).where("y1 < z2 AND z1 < y2")
-    inter = met.groupBy("image_id", "g", "d").agg(F.sum(F.least("y2", "z2") - F.greatest("y1", "z1")).alias("inter"))
-    out = inter.join(length(gold, ["image_id", "g"], "ga"), ["image_id", "g"]).join(length(found, ["image_id", "d"], "da"), ["image_id", "d"])
-    return out.select("image_id", "g", "d", (F.col("inter") / (F.col("ga") + F.col("da") - F.col("inter"))).alias("iou"))
+    """(image_id, g, d, iou) of masks that share a pixel: masks of an image whose extents meet are compared, each a row."""
+    rows = packed(gold, "g").join(packed(found, "d"), "image_id")
+    rows = rows.where("g_x_min <= d_x_max AND d_x_min <= g_x_max AND g_y_min < d_y_max AND d_y_min < g_y_max")
+
+    def iou(held: dict, owners: int) -> np.ndarray:
+        inter = arrays.covered(held["g"], held["d"], owners)
+        return inter / np.maximum(held["g_area"] + held["d_area"] - inter, 1)
+
+    return by_masks(rows, ["image_id", "g", "d"], "iou", iou).where("iou > 0")
 
 
 def matched_masks(gold: DataFrame, found: DataFrame) -> DataFrame:
