@@ -98,17 +98,36 @@ def classify_text(texts: DataFrame, nodes: DataFrame, on: list[str], text: str)
     return texts.select(*on, text).join(held, [*on, text], "left").withColumn("is_node", F.coalesce("is_node", F.lit(False)))
 
 
+#: Boxes of a drawing that are all compared with each of its points.
+FEW_BOXES = 50
+
+
 def nearest_boxes(points: DataFrame, nodes: DataFrame, on: list[str], point: str, node: str, cell: float) -> DataFrame:
     """(on, point, best) with ``best`` (d, node, text) of the nearest box to each point (x, y), ties to the least node.
 
-    A grid of ``cell`` is searched first, in the nine cells about a point; what lies no farther than a cell is found for
+    In a drawing of at most ``FEW_BOXES`` boxes all are compared: a point's cells would be as many rows. In others a grid of ``cell`` is searched first, in the nine cells about a point; what lies no farther than a cell is found for
     certain. Points without such a box go on to a grid of twice the size, until a cell spans everything. So a point meets
     the boxes of its surroundings only, however many its drawing has, and each round leaves the lonelier points.
     A box lies in every cell that it covers. Points of a drawing without boxes get no row.
     """
-    corners = boxes.corners()
     asked = points.select(*on, F.col(point).alias("point"), "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
     held = nodes.select(*on, F.col(node).alias("node"), "text", *boxes.CORNERS).where(" AND ".join(f"{c} IS NOT NULL" for c in boxes.CORNERS))
+    many = written(held.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > FEW_BOXES).select(*on))
+    if many.isEmpty():
+        return _nearest_of_all(asked, held, on).withColumnRenamed("point", point)
+    few = _nearest_of_all(asked.join(many, on, "left_anti"), held.join(many, on, "left_anti"), on)
+    asked, held = written(asked.join(many, on, "left_semi")), written(held.join(many, on, "left_semi"))
+    return few.unionByName(_nearest_by_cells(asked, held, on, cell)).withColumnRenamed("point", point)
+
+
+def _nearest_of_all(asked: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
+    """Each point beside all boxes of its drawing."""
+    best = F.min(F.struct(boxes.distance_to("", F.col("x"), F.col("y")).alias("d"), "node", "text")).alias("best")
+    return asked.join(held, on).groupBy(*on, "point").agg(best)
+
+
+def _nearest_by_cells(asked: DataFrame, held: DataFrame, on: list[str], cell: float) -> DataFrame:
+    corners = boxes.corners()
     ends = asked.select("x", "y").union(held.select("x1", "y1")).union(held.select("x2", "y2"))
     span = ends.agg((F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).alias("s")).first()[0] or 0.0
     left, found, size = asked, None, cell
@@ -124,10 +143,10 @@ def nearest_boxes(points: DataFrame, nodes: DataFrame, on: list[str], point: str
         sure = written(best if done else best.where(F.col("best.d") <= size))
         found = sure.select(*on, "point", "best") if found is None else found.unionByName(sure.select(*on, "point", "best"))
         if done:
-            return found.withColumnRenamed("point", point)
+            return found
         left = written(left.join(sure.select(*on, "point"), [*on, "point"], "left_anti"))
         if left.isEmpty():
-            return found.withColumnRenamed("point", point)
+            return found
         size *= 2
 
 

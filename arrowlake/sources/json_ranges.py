@@ -3,8 +3,8 @@
 A range of bytes says nothing of where it starts: within a string or not, and how deep. So a first pass summarises each
 range under both assumptions: by how much it changes the depth, where it first falls to each lower depth, and where the
 wanted array may open. The summaries, one small row a range, are put in order and tell each range its true start; a
-second pass then yields the array's elements that begin in each range. Both passes are Python data sources, a task a
-range; strings and brackets are found with array operations.
+second pass then yields the array's elements that begin in each range. Both passes are Python data sources, a task for
+ranges of 8 MB together; strings and brackets are found with array operations.
 """
 
 from __future__ import annotations
@@ -200,10 +200,17 @@ def _read_on(path: str, start: int) -> str:
 
 @dataclass
 class Piece(InputPartition):
-    plan: dict
+    """Consecutive ranges that one task reads: as many as make up ``RANGE_BYTES``."""
+
+    plans: list[dict]
 
     def __post_init__(self) -> None:
-        super().__init__(self.plan)
+        super().__init__(self.plans)
+
+
+def pieces(plans: list[dict], size: int) -> list[Piece]:
+    each = max(1, RANGE_BYTES // size)
+    return [Piece(plans[i : i + each]) for i in range(0, len(plans), each)]
 
 
 class _Summaries(DataSourceReader):
@@ -211,14 +218,14 @@ class _Summaries(DataSourceReader):
         self.path, self.size, self.field = options["path"], int(options.get("rangebytes", RANGE_BYTES)), options.get("field")
 
     def partitions(self) -> list[Piece]:
-        return [Piece({"path": path, "start": a, "size": min(self.size, n - a)}) for path, n in _files(self.path) for a in range(0, n, self.size)]
+        return pieces([{"path": path, "start": a, "size": min(self.size, n - a)} for path, n in _files(self.path) for a in range(0, n, self.size)], self.size)
 
     def read(self, piece: Piece) -> Iterator[tuple]:
-        p = piece.plan
-        behind = min(BEHIND, p["start"])
-        data = read_bytes(p["path"], p["start"] - behind, behind + p["size"])
-        for row in summaries(data[:behind], data[behind:], _escaped_before(p["path"], p["start"]), self.field):
-            yield (p["path"], p["start"], *row[:4], [dict(zip(("at", "depth", "closes"), a)) for a in row[4]])
+        for p in piece.plans:
+            behind = min(BEHIND, p["start"])
+            data = read_bytes(p["path"], p["start"] - behind, behind + p["size"])
+            for row in summaries(data[:behind], data[behind:], _escaped_before(p["path"], p["start"]), self.field):
+                yield (p["path"], p["start"], *row[:4], [dict(zip(("at", "depth", "closes"), a)) for a in row[4]])
 
 
 class JsonSummaries(DataSource):
@@ -240,12 +247,12 @@ class _Elements(DataSourceReader):
         self.size, self.level, self.plans = int(options["rangebytes"]), int(options["level"]), json.loads(options["plans"])
 
     def partitions(self) -> list[Piece]:
-        return [Piece(p) for p in self.plans] or [Piece({})]
+        return pieces(self.plans, self.size) or [Piece([])]
 
     def read(self, piece: Piece) -> Iterator[tuple]:
-        p = piece.plan
-        for value in elements(p["path"], p["start"], self.size, p["inside"], p["depth"], p["first"], p["last"], self.level) if p else ():
-            yield p["path"], value
+        for p in piece.plans:
+            for value in elements(p["path"], p["start"], self.size, p["inside"], p["depth"], p["first"], p["last"], self.level):
+                yield p["path"], value
 
 
 class JsonElements(DataSource):
@@ -315,14 +322,14 @@ class _LabelWriter(DataSourceWriter):
         system, at = _opened(folder)
         system.create_dir(at, recursive=True)
         names, file = [], None
-        for row in rows:
-            if not names or row["name"] != names[-1]:
+        for name, line in rows:
+            if not names or name != names[-1]:
                 if file:
                     file.close()
-                names.append(row["name"])
-                file = system.open_output_stream(f"{at}/{row['name']}")
-            if row["line"] is not None:
-                file.write(row["line"].encode() + b"\n")
+                names.append(name)
+                file = system.open_output_stream(f"{at}/{name}")
+            if line is not None:
+                file.write(line.encode() + b"\n")
         if file:
             file.close()
         return Staged(folder, names)

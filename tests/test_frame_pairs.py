@@ -80,3 +80,17 @@ def test_association_block_by_block(spark, monkeypatch):
     assert not hasattr(tracks, "pair_overlap")
     found = tracks.associate(t, d, ["video_id", "frame"])
     assert sorted(map(tuple, found.where("what = 'matched'").drop("what").collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_drawings_of_few_boxes_need_no_cells(spark, monkeypatch):
+    rng = random.Random(11)
+    at = lambda: (float(rng.randint(0, 60)), float(rng.randint(0, 60)))
+    points = spark.createDataFrame([(i, p, *at()) for i in range(4) for p in range(12)], "image_id long, p long, x double, y double")
+    nodes = spark.createDataFrame([(i, n, f"n{n}", x, y, x + 4, y + 3) for i in range(3) for n in range(60 if i == 1 else 5) for x, y in [at()]], "image_id long, n long, text string, x1 double, y1 double, x2 double, y2 double")
+    nearest = lambda: sorted((r.image_id, r.p, *r.best) for r in spatial.nearest_boxes(points, nodes, ["image_id"], "p", "n", 7.0).collect())
+    mixed = nearest()
+    monkeypatch.setattr(spatial, "FEW_BOXES", 0)
+    assert mixed == nearest() and len(mixed) == 36
+    monkeypatch.setattr(spatial, "FEW_BOXES", 60)
+    monkeypatch.setattr(spatial, "_nearest_by_cells", None)
+    assert mixed == nearest()

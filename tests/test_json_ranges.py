@@ -84,3 +84,10 @@ def test_label_files_appear_together(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         jr.write_label_files(bad, f"{tmp_path}/other")
     assert not os.path.exists(f"{tmp_path}/other") or os.listdir(f"{tmp_path}/other") == []
+
+
+def test_small_ranges_share_tasks():
+    plans = [{"start": i} for i in range(1000)]
+    made = jr.pieces(plans, 1 << 16)
+    assert len(made) == 8 and [p for piece in made for p in piece.plans] == plans
+    assert len(jr.pieces(plans, 1 << 30)) == 1000 and jr.pieces([], 1 << 16) == []
