@@ -22,8 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 RANGE_BYTES, BEHIND = 8 << 20, 1 << 16
+#: Ranges are not put together in fewer tasks than this.
+LEAST_TASKS = 64
 QUOTE, BACKSLASH = 34, 92
-OPEN, CLOSE = np.array([ord("["), ord("{")], np.uint8), np.array([ord("]"), ord("}")], np.uint8)
+#: What each byte adds to the depth.
+STEP = np.zeros(256, np.int8)
+STEP[[ord("["), ord("{")]], STEP[[ord("]"), ord("}")]] = 1, -1
+#: The first bytes read of a value that goes on beyond its range; twice as many each time after.
+FIRST_READ = 1 << 12
 SUMMARY = "path string, start long, starts_inside boolean, ends_inside boolean, change long, falls array<long>, arrays array<struct<at:long,depth:long,closes:long>>"
 
 
@@ -96,10 +102,11 @@ def lexed(data: bytes, escaped: bool) -> Lexed:
         hit = (first + length)[odd]
         if escaped and not (len(first) and first[0] == 0):
             hit = np.append(hit, 0)
-        quotes = np.setdiff1d(quotes, hit)
-    kind = np.isin(raw, np.concatenate([OPEN, CLOSE]))
-    brackets = np.flatnonzero(kind)
-    return Lexed(quotes, brackets, np.where(np.isin(raw[brackets], OPEN), 1, -1))
+        behind = np.zeros(len(raw) + 1, bool)
+        behind[hit] = True
+        quotes = quotes[~behind[quotes]]
+    brackets = np.flatnonzero(STEP[raw])
+    return Lexed(quotes, brackets, STEP[raw[brackets]].astype(np.int64))
 
 
 def _keyed(behind: bytes, data: bytes, field: str) -> list[int]:
@@ -184,7 +191,7 @@ def elements(path: str, start: int, size: int, inside: bool, depth: int, first:
 
 def _read_on(path: str, start: int) -> str:
     """The bracketed value at a place, however long."""
-    data, step = b"", RANGE_BYTES
+    data, step = b"", FIRST_READ
     while True:
         more = read_bytes(path, start + len(data), step)
         if not more:
@@ -200,7 +207,7 @@ def _read_on(path: str, start: int) -> str:
 
 @dataclass
 class Piece(InputPartition):
-    """Consecutive ranges that one task reads: as many as make up ``RANGE_BYTES``."""
+    """Consecutive ranges that one task reads: as many as make up ``RANGE_BYTES``, of many."""
 
     plans: list[dict]
 
@@ -209,7 +216,7 @@ class Piece(InputPartition):
 
 
 def pieces(plans: list[dict], size: int) -> list[Piece]:
-    each = max(1, RANGE_BYTES // size)
+    each = max(1, min(RANGE_BYTES // size, len(plans) // LEAST_TASKS))
     return [Piece(plans[i : i + each]) for i in range(0, len(plans), each)]
 
 

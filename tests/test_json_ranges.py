@@ -87,7 +87,18 @@ def test_label_files_appear_together(spark, tmp_path):
 
 
 def test_small_ranges_share_tasks():
-    plans = [{"start": i} for i in range(1000)]
+    plans = [{"start": i} for i in range(12_800)]
     made = jr.pieces(plans, 1 << 16)
-    assert len(made) == 8 and [p for piece in made for p in piece.plans] == plans
-    assert len(jr.pieces(plans, 1 << 30)) == 1000 and jr.pieces([], 1 << 16) == []
+    assert len(made) == 100 and [p for piece in made for p in piece.plans] == plans
+    assert len(jr.pieces(plans, 1 << 30)) == 12_800 and len(jr.pieces(plans[:40], 1 << 16)) == 40 and jr.pieces([], 1 << 16) == []
+
+
+def test_a_value_that_goes_on_is_read_by_its_own_length(tmp_path, monkeypatch):
+    read, sizes = jr.read_bytes, []
+    monkeypatch.setattr(jr, "read_bytes", lambda path, start, size: (sizes.append(size), read(path, start, size))[1])
+    long = json.dumps({"a": ["x\\\"]" * 5000]})
+    (tmp_path / "a.json").write_text('[{"b": 1}, ' + long + ', {"c": 2}]' + " " * 100_000)
+    assert jr._read_on(str(tmp_path / "a.json"), 11) == long
+    assert sum(sizes) < 8 * len(long)
+    sizes.clear()
+    assert jr._read_on(str(tmp_path / "a.json"), 1) == '{"b": 1}' and sum(sizes) <= 4096
