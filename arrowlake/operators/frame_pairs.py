@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import boxes
 from .assignment import solve_matrix
@@ -213,7 +214,7 @@ def near_any(gt: DataFrame, dt: DataFrame, by: list[str], on: list[str], least:
     return g.groupBy(*on).cogroup(t.groupBy(*on)).applyInPandas(run, kinds)
 
 
-def over_frames(frames: DataFrame, rule: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+def over_frames(frames: DataFrame, rule: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str | StructType) -> DataFrame:
     """What ``rule`` makes of each frame of ``frames`` (video_id, frame, track_id, ...), in order of the frames of a video.
 
     ``rule()`` begins a video. Rows are dealt by video and streamed in order; a task holds one frame and the rule's own state.

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import boxes
 from ..plans.components import connected_components
 from ..plans.materialize import written
-from .frame_pairs import track_sums
+from .frame_pairs import ious, over_frames, track_sums
 from .greedy import suppress
 
 
@@ -217,6 +221,25 @@ def nms(dets: DataFrame, on: list[str], det: str, threshold: float, kind: str =
     return suppress(items, conflicts, on, det, "rank").drop("rank")
 
 
+def nms_frames(dets: DataFrame, threshold: float) -> DataFrame:
+    """``nms`` of frames (video_id, frame, track_id, score, x1, y1, x2, y2) with very many boxes: a task takes a frame's boxes by falling
+    score, each against those still left, so pairs are no rows."""
+
+    def rule() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            left = np.lexsort((rows["track_id"].to_numpy(), -rows["score"].to_numpy(float)))
+            corners, kept = rows[boxes.CORNERS].to_numpy(float), []
+            while len(left):
+                kept.append(left[0])
+                left = left[1:][ious(corners[left[:1]], corners[left[1:]])[0] < threshold]
+            return rows.iloc[kept]
+
+        return step
+
+    items = dets.where("x2 > x1 AND y2 > y1")
+    return over_frames(items, rule, items.schema)
+
+
 def nms_tracks(frames: DataFrame, threshold: float) -> DataFrame:
     """Tracks (video_id, track_id, score) left by suppression with the IoU of summed areas over frames both are in."""
     sums = track_sums(frames, frames, ["video_id"], threshold).where("gt_id <> dt_id").select("video_id", F.col("gt_id").alias("track_id"), F.col("dt_id").alias("other"), "inter", (F.col("both") - F.col("inter")).alias("union"))

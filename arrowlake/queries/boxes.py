@@ -195,7 +195,7 @@ FRAMES = "(SELECT video_id, frame, track_id, x AS x1, y AS y1, x + w AS x2, y +
 @query("e14_nms_frame", "fx_pred_frames", sql=nms_sql(FRAMES, "vf", "track_id", f"{TOUCH} AND {IOU} >= 0.3::DOUBLE", "SELECT d.video_id, d.frame, d.track_id, d.score FROM d JOIN f USING (vf, k)"))
 def frame_nms(p: DataFrame) -> DataFrame:
     box = p.select("video_id", "frame", "track_id", "score", *[v.alias(k) for k, v in fb.from_xywh(*[F.col(c) for c in "xywh"]).items()])
-    return sp.nms(box, ["video_id", "frame"], "track_id", 0.3).select("video_id", "frame", "track_id", "score")
+    return sp.nms_frames(box, 0.3).select("video_id", "frame", "track_id", "score")
 
 
 @query(

@@ -94,3 +94,11 @@ def test_drawings_of_few_boxes_need_no_cells(spark, monkeypatch):
     monkeypatch.setattr(spatial, "FEW_BOXES", 60)
     monkeypatch.setattr(spatial, "_nearest_by_cells", None)
     assert mixed == nearest()
+
+
+def test_suppression_within_frames_is_that_of_pairs(spark, monkeypatch):
+    d = tracks.cornered(frames(spark, 12, n=25, score=True)).drop("x", "y", "w", "h")
+    by_pairs = sorted(map(tuple, spatial.nms(d, ["video_id", "frame"], "track_id", 0.3).select(*d.columns).collect()))
+    monkeypatch.setattr(spatial, "pair_overlap", None)
+    kept = spatial.nms_frames(d, 0.3)
+    assert sorted(map(tuple, kept.collect())) == by_pairs and kept.count() < d.count()
